@@ -19,6 +19,7 @@ import bisect
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -214,7 +215,7 @@ class Reader:
 # stop or comma after a letter apart (it is a pre-token of its own). A text's ids are its pieces' ids in order.
 
 _TOKENIZERS: dict = {}
-PIECES = 600_000
+PIECES = 1_000_000
 
 
 def _tokenizer(path: str):
@@ -237,28 +238,30 @@ def _stem(piece: bytes) -> tuple[bytes, bytes]:
 
 
 def _learn(tokenizer, width: int, known: dict[bytes, bytes], pieces: list[list[bytes]]) -> None:
-    new = {p for text in pieces for p in text if p not in known}
+    every = set().union(*pieces)
+    new = every.difference(known)
     if len(known) + len(new) > PIECES:
         known.clear()
-        new = {p for text in pieces for p in text}
-    stems = {s for p in new for s in _stem(p) if s and s not in known}
-    todo = sorted(stems)
+        new = every
+    cut = {p: _stem(p) for p in new}
+    todo = list({s for pair in cut.values() for s in pair if s}.difference(known))
+    kind = "H" if width == 2 else "I"
     for at in range(0, len(todo), 10_000):
         part = todo[at : at + 10_000]
         for p, e in zip(part, tokenizer.encode_batch_fast([p.decode() for p in part], add_special_tokens=False), strict=True):
-            known[p] = np.array(e.ids, f"<u{width}").tobytes()
-    for p in new - stems:
-        stem, end = _stem(p)
-        known[p] = known[stem] + known[end]
+            known[p] = array(kind, e.ids).tobytes()
+    for p, (stem, end) in cut.items():
+        if end:
+            known[p] = known[stem] + known[end]
 
 
-def encode_texts(texts: list[str | None], path: str, end_id: int) -> tuple[list[bytes], int]:
-    """Each text's ids and end_id, as bytes; and the bytes an id takes."""
+def encode_texts(texts: list[bytes | None], path: str, end_id: int) -> tuple[list[bytes], int]:
+    """The ids of each text (UTF-8) and end_id, as bytes; and the bytes an id takes."""
     tokenizer, width, known = _tokenizer(path)
-    pieces = [(t or "").encode().lower().split() for t in texts]
+    pieces = [(t or b"").lower().split() for t in texts]
     _learn(tokenizer, width, known, pieces)
     end = np.array([end_id], f"<u{width}").tobytes()
-    return [b"".join([known[p] for p in text]) + end for text in pieces], width
+    return [b"".join(map(known.__getitem__, text)) + end for text in pieces], width
 
 
 def _write_shards(path: str, end_id: int, folder: str, shard_bytes: int):
@@ -309,7 +312,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str
     folder = folder or common.scratch(spark, "sst")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text"))
-    rows = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
+    rows = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", F.col("text").cast("binary").alias("text"))
     wrote = rows.mapInArrow(_write_shards(tokenizer_path, end_id, folder, shard_bytes), "part long, seq long, file string, n_docs long, n_ids long, n_bytes long")
     manifest = common.stored(wrote, "sst-manifest")
     # Prefix sums on two levels, so that no task holds all shards: over parts, then over the shards of a part.
