@@ -17,8 +17,9 @@ from . import common
 from .native import SPACES
 
 LEVELS = ("domain", "lang", "source")
-#: Hash ranges of a leaf's order: ranges are summed first, and only the range in which the budget ends is put in order.
-RANGES = 65_536
+#: A leaf's order is cut into 256 hash ranges, and the one in which the budget ends into 256 again: ranges are summed, and only
+#: the last one in which the budget ends is put in order.
+CUTS = 2
 NONE = "(none)"
 
 
@@ -88,18 +89,26 @@ def epochs_of(rows: DataFrame, mix: Mix) -> DataFrame:
     plan = common.small(common.stored(plan, "mix-plan"), 100_000)
     # A null doc_id is written as nothing; rows with the same id and text are told apart by nothing but stay together.
     keyed = rows.join(plan, list(LEVELS)).withColumn("key", F.md5(F.concat_ws(":", F.lit(str(mix.seed)), F.col("full") + 1, F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
-    keyed = keyed.withColumn("range", F.conv(F.substring("key", 1, 4), 16, 10).cast("int"))
-    sums = keyed.groupBy(*LEVELS, "range").agg(F.sum("tokens").alias("of_range"))
-    w = Window.partitionBy(*LEVELS).orderBy("range")  # at most RANGES rows a leaf
-    sums = sums.withColumn("upto", F.sum("of_range").over(w))
-    sums = common.stored(sums.select(*LEVELS, "range", "upto", (F.col("upto") - F.col("of_range")).alias("before")), "mix-ranges")
-    ends = plan.select(*LEVELS, "rest").join(sums, list(LEVELS)).where("before <= rest and upto > rest").groupBy(*LEVELS).agg(F.min("range").alias("end_range"), F.min("before").alias("end_before"))
-    keyed = keyed.join(common.small(common.stored(ends, "mix-ends"), 100_000), list(LEVELS), "left")
-    inside = keyed.where("range = end_range")
+    keyed = keyed.withColumn("spent", F.lit(0).cast("long"))
+    decided = []
+    for cut in range(CUTS):
+        keyed = keyed.withColumn("range", F.substring("key", 1 + 2 * cut, 2))
+        sums = keyed.groupBy(*LEVELS, "range").agg(F.sum("tokens").alias("of_range"))
+        w = Window.partitionBy(*LEVELS).orderBy("range")  # 256 rows a leaf
+        sums = sums.withColumn("upto", F.sum("of_range").over(w)).withColumn("before", F.col("upto") - F.col("of_range"))
+        spent = common.stored(keyed.groupBy(*LEVELS).agg(F.first("spent").alias("spent"), F.first("rest").alias("rest")), "mix-spent")
+        ends = sums.join(spent, list(LEVELS)).where("spent + before <= rest and spent + upto > rest")
+        ends = ends.groupBy(*LEVELS).agg(F.min("range").alias("end_range"), F.min(F.col("spent") + F.col("before")).alias("end_spent"))
+        ends = common.small(common.stored(ends, "mix-ends"), 100_000)
+        keyed = keyed.join(ends, list(LEVELS), "left")
+        outside = keyed.where("end_range is null or range <> end_range")
+        decided.append(outside.withColumn("of_last", F.col("end_range").isNull() | (F.col("range") < F.col("end_range"))).drop("range", "end_range", "end_spent", "spent"))
+        keyed = keyed.where("range = end_range").withColumn("spent", F.col("end_spent")).drop("range", "end_range", "end_spent")
     order = Window.partitionBy(*LEVELS).orderBy("key", "tokens", "row")
-    inside = inside.withColumn("of_last", F.col("end_before") + F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) <= F.col("rest"))
-    outside = keyed.where("end_range is null or range <> end_range").withColumn("of_last", F.col("end_range").isNull() | (F.col("range") < F.col("end_range")))
-    both = outside.unionByName(inside)
+    inside = keyed.withColumn("of_last", F.col("spent") + F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) <= F.col("rest")).drop("spent")
+    both = inside
+    for d in decided:
+        both = both.unionByName(d)
     # A leaf whose budget is a whole number of epochs has no prefix left to take, unless it has no tokens at all.
     both = both.withColumn("of_last", F.col("of_last") & ((F.col("rest") > 0) | (F.col("leaf_tokens") == 0)))
     return both.withColumn("epochs", F.col("full") + F.col("of_last").cast("long"))
