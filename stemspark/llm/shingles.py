@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import xxhash
-
-from . import common
 
 #: Words of a shingle, and the similarity from which two texts are near-duplicates.
 SHINGLE, SIMILAR = 5, 0.8
@@ -14,22 +11,37 @@ _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Words(common.Bounded):
-    def __missing__(self, word: str) -> int:
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_WORDS = _Words(1_000_000)
-
-
-def words(text: str | None) -> list[str]:
-    """Case-folded words between white space."""
-    return (text or "").lower().split()
-
-
-def word_hashes(found: list[str]) -> np.ndarray:
-    return np.fromiter(map(_WORDS.__getitem__, found), np.uint64, len(found))
+#: A 64-bit value for each byte, and powers of an odd base and of its inverse modulo 2**64.
+_BYTE = np.random.default_rng(20240607).integers(0, 1 << 64, 256, dtype=np.uint64)
+_BASE = 0x9E3779B97F4A7C15
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _grown(n: int) -> list[np.ndarray]:
+    if len(_powers[0]) < n:
+        size = 1 << (n - 1).bit_length()
+        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            out = np.full(size, base, np.uint64)
+            out[0] = 1
+            _powers[i] = np.multiply.accumulate(out)
+    return _powers
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """A hash of each case-folded word between ASCII white space: sums of byte values times powers, taken from one running
+    sum over the text and shifted back by the inverse power."""
+    data = np.frombuffer((text or "").lower().encode(), np.uint8)
+    if not len(data):
+        return np.zeros(0, np.uint64)
+    space = _SPACE[data]
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    starts = edge[~space[edge]] if space[0] else np.concatenate([[0], edge[~space[edge]]])
+    ends = edge[space[edge]] if space[-1] else np.concatenate([edge[space[edge]], [len(data)]])
+    up, down = _grown(len(data))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * up[: len(data)])])
+    return mix((total[ends] - total[starts]) * down[starts])
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -3,8 +3,9 @@ by weighted Jaccard similarity.
 
 A text's set is its 5-word shingles; a shingle weighs its count times its inverse document frequency. Document frequencies
 of all documents are kept in a sketch of fixed size: DEPTH tables of WIDTH counters, the smallest of a shingle's counters
-is its frequency. Its error is a fixed share of the documents (about distinct shingles a document / WIDTH), so weights mean
-the same at every size: frequencies below FLOOR of all documents count as FLOOR.
+is its frequency. Its error is a fixed share of the documents (about distinct shingles a document / WIDTH, 1 %), so weights
+mean the same at every size: frequencies below FLOOR of all documents count as FLOOR. The floor is high on purpose: else
+the shingles of a large group of near copies, being frequent, would weigh less than the edits that tell the copies apart.
 """
 
 from __future__ import annotations
@@ -18,12 +19,14 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import components
-from .shingles import SIMILAR, mix, shingle_hashes, word_hashes, words
+from .shingles import SIMILAR, mix, shingle_hashes, word_hashes
 
-WIDTH, DEPTH, SLICE = 1 << 20, 2, 1 << 12
-FLOOR = 1 / 256
+WIDTH, DEPTH, SLICE = 1 << 16, 2, 1 << 12
+FLOOR = 1 / 4
 #: A pair at the least similarity shares a band with probability 1 - (1 - 0.8 ** ROWS) ** BANDS = 0.9992.
 BANDS, ROWS = 10, 3
+#: The finer bands for documents whose buckets still hold several components: 0.988 at the least similarity, 0.1 at 0.6.
+FINE_BANDS, FINE_ROWS = 24, 8
 #: Shingles that are sampled at a time.
 CHUNK = 1 << 15
 _U = np.uint64
@@ -38,14 +41,25 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
     and hands on its slices; slices are added up by their number."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, any_ = np.zeros((DEPTH, WIDTH), np.uint32), False
+        sketch = np.zeros((DEPTH, WIDTH), np.uint32)
+        waiting: list[np.ndarray] = []
+
+        def add_up() -> None:
+            for table, slots in zip(sketch, _slots(np.concatenate(waiting)), strict=True):
+                table += np.bincount(slots, minlength=WIDTH).astype(np.uint32)
+            waiting.clear()
+
+        size = 0
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                x = np.unique(shingle_hashes(word_hashes(words(text))))
-                any_ |= len(x) > 0
-                for table, slots in zip(sketch, _slots(x), strict=True):
-                    np.add.at(table, slots, 1)
-        if any_:
+                waiting.append(np.unique(shingle_hashes(word_hashes(text))))
+                size += len(waiting[-1])
+                if size > 1 << 21:
+                    add_up()
+                    size = 0
+        if waiting:
+            add_up()
+        if sketch.any():
             parts = sketch.reshape(-1, SLICE)
             full = np.flatnonzero(parts.any(axis=1))
             for at in range(0, len(full), 64):
@@ -63,7 +77,7 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
 
     schema = "part int, counts binary"
     counted = docs.select("text").mapInArrow(count, schema)
-    # A slice holds DEPTH * WIDTH / SLICE = 512 keys at most, however many tasks there are.
+    # A slice holds DEPTH * WIDTH / SLICE = 32 keys at most, however many tasks there are.
     rows = counted.repartition("part").mapInArrow(add, schema).collect()
     out = np.zeros((DEPTH * WIDTH // SLICE, SLICE), np.int64)
     for r in rows:
@@ -78,7 +92,7 @@ def inverse(sketch: np.ndarray, n: int) -> np.ndarray:
 
 def weighted_set(text: str | None, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted shingle hashes and their weights. A text without words is the set of one shingle, 0."""
-    x = shingle_hashes(word_hashes(words(text)))
+    x = shingle_hashes(word_hashes(text))
     if not len(x):
         return np.zeros(1, np.uint64), np.ones(1, np.float32)
     x, tf = np.unique(x, return_counts=True)
@@ -109,8 +123,8 @@ def _gamma() -> tuple[np.ndarray, np.ndarray]:
     return _GAMMA[0], _GAMMA[1]
 
 
-def signatures(x: np.ndarray, w: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Band keys uint64[sets, BANDS] of the sets that lie one after the other in x, w from `starts` on.
+def signatures(x: np.ndarray, w: np.ndarray, starts: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """Band keys uint64[sets, bands] of the sets that lie one after the other in x, w from `starts` on.
 
     For sample k a shingle draws r, c ~ Gamma(2, 1) and b ~ U(0, 1) from its hash; t = floor(ln w / r + b);
     ln a = ln c - r (t - b) - r; the shingle with the smallest a is the sample, together with its t.
@@ -119,11 +133,11 @@ def signatures(x: np.ndarray, w: np.ndarray, starts: np.ndarray) -> np.ndarray:
     lnw = np.log(w)
     sizes = np.diff(np.append(starts, len(x)))
     owner = np.repeat(np.arange(len(starts)), sizes)
-    keys = np.zeros((len(starts), BANDS), np.uint64)
-    for band in range(BANDS):
+    keys = np.zeros((len(starts), bands), np.uint64)
+    for band in range(bands):
         key = np.full(len(starts), band, np.uint64)
-        for row in range(ROWS):
-            u = mix(x + _U(0x9E3779B97F4A7C15 * (band * ROWS + row + 1) & 0xFFFFFFFFFFFFFFFF))
+        for row in range(rows):
+            u = mix(x + _U(0x9E3779B97F4A7C15 * (1000 * rows + band * rows + row + 1) & 0xFFFFFFFFFFFFFFFF))
             r, lnc = r_of[u & _U(0xFFFF)], lnc_of[u >> _U(16) & _U(0xFFFF)]
             b = (u >> _U(32) & _U(0xFFFFFF)).astype(np.float32) * np.float32(1 / (1 << 24))
             t = np.floor(lnw / r + b)
@@ -136,7 +150,7 @@ def signatures(x: np.ndarray, w: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return keys
 
 
-def _band_rows(idf) -> object:
+def _band_rows(idf, bands: int = BANDS, rows: int = ROWS):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = idf.value
         for batch in batches:
@@ -149,8 +163,8 @@ def _band_rows(idf) -> object:
                 size += len(x)
                 if size >= CHUNK or i == len(ids) - 1:
                     starts = np.cumsum([0] + [len(v[1]) for v in waiting[:-1]])
-                    keys = signatures(np.concatenate([v[1] for v in waiting]), np.concatenate([v[2] for v in waiting]), starts)
-                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array(np.repeat(np.array([v[0] for v in waiting], np.int64), BANDS)), "bucket": pa.array(keys.view(np.int64).ravel())})
+                    keys = signatures(np.concatenate([v[1] for v in waiting]), np.concatenate([v[2] for v in waiting]), starts, bands, rows)
+                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array(np.repeat(np.array([v[0] for v in waiting], np.int64), bands)), "bucket": pa.array(keys.view(np.int64).ravel())})
                     waiting, size = [], 0
 
     return run
@@ -173,10 +187,19 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf, least: float) -> DataFram
     return joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, near boolean")
 
 
-def _hubs(members: DataFrame, group: list[str], low: bool) -> DataFrame:
-    """members(*group, doc_id) with each group's smallest (largest) member as hub; the join splits skewed groups."""
-    hub = members.groupBy(*group).agg((F.min if low else F.max)("doc_id").alias("b"))
-    return members.join(hub, group).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
+def _ranked(members: DataFrame) -> DataFrame:
+    """members(bucket, doc_id) of buckets with several documents, and each document's rank: the sizes of its buckets together.
+    The text that copies derive from shares every band with most of them, so the highest rank makes the best hub."""
+    full = members.groupBy("bucket").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi").select("bucket", "size")
+    members = common.stored(members.join(full, "bucket"), "near-buckets")
+    rank = members.groupBy("doc_id").agg(F.sum("size").alias("rank"))
+    return common.stored(members.join(rank, "doc_id").select("bucket", "doc_id", "rank"), "near-ranked")
+
+
+def _hubs(members: DataFrame) -> DataFrame:
+    """Each member of a bucket with the bucket's hub: the member with the highest rank. The join splits skewed buckets."""
+    hub = members.groupBy("bucket").agg(F.max(F.struct("rank", F.col("doc_id").alias("b"))).alias("hub")).select("bucket", "hub.b")
+    return members.join(hub, "bucket").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
 
 
 def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
@@ -187,10 +210,9 @@ def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     its class_id null. A doc_id that repeats is taken with its smallest text, and its rows are one class (one is kept).
     Other columns are ignored.
 
-    Copies collapse first. In each bucket of the bands every member is compared with one hub, then the members that still
-    are in other components with another hub, then all that remain in different components of a bucket with each other;
-    so groups of near copies cost a few comparisons a member, and no pair that shares a bucket is left out unless it is
-    connected already.
+    Copies collapse first. In each bucket every member is compared with the bucket's hub. Members of buckets that still hold
+    several components are banded again, on finer and independent samples, and compared with those buckets' hubs. So groups
+    of near copies cost a few comparisons a member, however large they are; pairs of a group are never listed.
     """
     spark = docs.sparkSession
     common.ship(spark)
@@ -208,32 +230,23 @@ def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     reps = exact.where("doc_id = exact_id").select("doc_id")
     members = texts.mapInArrow(_band_rows(idf), "doc_id long, bucket long").join(reps, "doc_id", "left_semi")
     members = common.stored(members, "near-members")
-    full = members.groupBy("bucket").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("bucket")
-    members = common.stored(members.join(full, "bucket"), "near-buckets")
+    members = _ranked(members)
     # Texts of the documents that share a bucket with another one.
     shared = common.small(members.select("doc_id").distinct())
     texts = common.stored(texts.join(shared, "doc_id", "left_semi"), "near-texts")
 
-    first = common.stored(_verified(_hubs(members, ["bucket"], True), texts, idf, least), "near-links")
-    tried = [first]
-    for step in ("hub", "rest"):
-        labels = components(_links(tried))
-        placed = members.join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-        left = common.stored(placed.join(mixed, "bucket"), "near-mixed")
-        if left.isEmpty():
-            break
-        if step == "hub":  # every component's largest member against the largest of the bucket's other components
-            tops = left.groupBy("bucket", "component").agg(F.max("doc_id").alias("doc_id"))
-            pairs = _hubs(tops, ["bucket"], False)
-        else:
-            other = left.select("bucket", F.col("doc_id").alias("b"), F.col("component").alias("other"))
-            pairs = left.join(other, "bucket").where("component < other").select(F.col("doc_id").alias("a"), "b").distinct()
-        for done in tried:
-            known_pairs = done.select("a", "b").union(done.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            pairs = pairs.join(known_pairs, ["a", "b"], "left_anti")
-        tried.append(common.stored(_verified(pairs, texts, idf, least), "near-links"))
-    labels = components(_links(tried)).select(F.col("node").alias("exact_id"), "component")
+    links = common.stored(_verified(_hubs(members), texts, idf, least), "near-links")
+    labels = components(links.where("near"))
+    placed = members.join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
+    left = common.stored(placed.join(mixed, "bucket").select("doc_id").distinct(), "near-mixed")
+    if not left.isEmpty():
+        fine = texts.join(common.small(left), "doc_id", "left_semi").mapInArrow(_band_rows(idf, FINE_BANDS, FINE_ROWS), "doc_id long, bucket long")
+        pairs = _hubs(_ranked(common.stored(fine, "near-fine")))
+        tried = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        more = common.stored(_verified(pairs.join(tried, ["a", "b"], "left_anti"), texts, idf, least), "near-links")
+        labels = components(links.unionByName(more).where("near"))
+    labels = labels.select(F.col("node").alias("exact_id"), "component")
     out = exact.join(labels, "exact_id", "left").select("doc_id", "exact_id", F.coalesce("component", "exact_id").alias("class_id"))
     if one:
         out = out.withColumn("kept", F.col("doc_id") == F.col("class_id"))
@@ -245,13 +258,6 @@ def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     return out.unionByName(missing)
 
 
-def _links(tried: list[DataFrame]) -> DataFrame:
-    out = tried[0]
-    for t in tried[1:]:
-        out = out.unionByName(t)
-    return out.where("near").select("a", "b")
-
-
 def keep_one(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     """docs without the rows of other documents of a class; of a repeated doc_id the row with the smallest text hash stays.
     All columns stay as they are; rows with a null doc_id stay."""
