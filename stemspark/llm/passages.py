@@ -8,7 +8,8 @@ whatever stands around it, and copies of the passage hold the same ones.
   1. Coarse bands of one MinHash value each (a join on the band key) keep the paragraphs that collide with one of another
      document: an identical paragraph always does, one of Jaccard similarity 0.8 with probability 0.96.
   2. Equal paragraphs become one; the distinct ones are banded finely, and those that collide are verified by the exact
-     Jaccard similarity of their shingle sets (array intersection and union).
+     Jaccard similarity of their shingle sets (array intersection and union) with their bucket's hub; where a bucket still
+     holds several classes, again in finer buckets. Pairs of a bucket are never listed.
   3. Components of the verified links are the classes; the first paragraph of a class (smallest doc_id, then position)
      stays, the others are removed where the class spans more than one document.
   4. Neighbouring paragraphs merge into runs. A run shorter than PASSAGE = 51 words counts only if it lies in a run of 51
@@ -26,12 +27,14 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import components
-from .shingles import SHINGLE, SIMILAR, mix, shingle_hashes, word_hashes, words
+from .shingles import SHINGLE, SIMILAR, mix, shingle_hashes, word_hashes
 
 WORDS = STEP = 26
 PASSAGE = WORDS + STEP - 1
 COARSE = 2
 FINE_ROWS = 4
+#: Bands and rows for paragraphs whose buckets still hold several classes.
+FINER_BANDS, FINER_ROWS = 24, 8
 _U = np.uint64
 _GOLD = 0x9E3779B97F4A7C15
 
@@ -96,7 +99,7 @@ def _coarse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         size = 0
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            at, whole, grams = paragraphs(word_hashes(words(text)))
+            at, whole, grams = paragraphs(word_hashes(text))
             if len(at):
                 keys = np.stack([mix(_minhash(grams, i) + _U(i)) for i in range(COARSE)], axis=1)
                 out.append((np.full(len(at) * COARSE, doc, np.int64), np.repeat(at.astype(np.int32), COARSE), np.repeat(whole, COARSE), keys.ravel()))
@@ -113,24 +116,29 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"doc_id": pa.array(doc), "at": pa.array(at), "whole": pa.array(whole.view(np.int64)), "key": pa.array(key.view(np.int64))})
 
 
+def _keys(grams: np.ndarray, bands: int, rows: int, first: int) -> np.ndarray:
+    keys = np.zeros((len(grams), bands), np.uint64)
+    for b in range(bands):
+        key = np.full(len(grams), b, np.uint64)
+        for r in range(rows):
+            key = mix(key * _U(_GOLD) + _minhash(grams, first + b * rows + r))
+        keys[:, b] = key
+    return keys
+
+
 def _contents(bands: int):
     """The shingles and fine band keys of the paragraphs of (doc_id, text) rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                at, whole, grams = paragraphs(word_hashes(words(text)))
+                at, whole, grams = paragraphs(word_hashes(text))
                 if not len(at):
                     continue
-                keys = np.zeros((len(at), bands), np.uint64)
-                for b in range(bands):
-                    key = np.full(len(at), b, np.uint64)
-                    for r in range(FINE_ROWS):
-                        key = mix(key * _U(_GOLD) + _minhash(grams, 100 + b * FINE_ROWS + r))
-                    keys[:, b] = key
+                keys, finer = _keys(grams, bands, FINE_ROWS, 100), _keys(grams, FINER_BANDS, FINER_ROWS, 1000)
                 out = {"doc_id": pa.array(np.full(len(at), doc, np.int64)), "at": pa.array(at.astype(np.int32))}
                 out["whole"] = pa.array(whole.view(np.int64))
-                out |= {n: pa.array(list(v.view(np.int64)), pa.list_(pa.int64())) for n, v in (("grams", grams), ("keys", keys))}
+                out |= {n: pa.array(list(v.view(np.int64)), pa.list_(pa.int64())) for n, v in (("grams", grams), ("keys", keys), ("finer", finer))}
                 yield pa.RecordBatch.from_pydict(out)
 
     return run
@@ -156,11 +164,8 @@ def repeated(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
 
     bands = tuned_bands(similar)
     owners = common.small(kinds.select("doc_id").distinct())
-    contents = texts.join(owners, "doc_id", "left_semi").mapInArrow(_contents(bands), "doc_id long, at int, whole long, grams array<long>, keys array<long>")
-    contents = common.stored(contents.join(kinds.select("whole", "doc_id", "at"), ["whole", "doc_id", "at"], "left_semi").dropDuplicates(["whole"]).select("whole", "grams", "keys"), "passages-contents")
-    members = contents.select("whole", F.explode("keys").alias("key"))
-    spread = members.groupBy("key").agg(F.min("whole").alias("lo"), F.max("whole").alias("hi")).where("lo < hi").select("key")
-    members = common.stored(members.join(spread, "key"), "passages-buckets")
+    contents = texts.join(owners, "doc_id", "left_semi").mapInArrow(_contents(bands), "doc_id long, at int, whole long, grams array<long>, keys array<long>, finer array<long>")
+    contents = common.stored(contents.join(kinds.select("whole", "doc_id", "at"), ["whole", "doc_id", "at"], "left_semi").dropDuplicates(["whole"]).select("whole", "grams", "keys", "finer"), "passages-contents")
     grams = contents.select("whole", "grams")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -169,22 +174,21 @@ def repeated(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
         near = shared >= similar * (F.size(F.array_distinct("ga")) + F.size(F.array_distinct("gb")) - shared)
         return common.stored(both.select("a", "b", near.alias("near")), "passages-links")
 
+    def members(keys: DataFrame) -> DataFrame:
+        spread = keys.groupBy("key").agg(F.min("whole").alias("lo"), F.max("whole").alias("hi")).where("lo < hi").select("key", F.col("lo").alias("b"))
+        return common.stored(keys.join(spread, "key"), "passages-buckets")
+
     def hubs(rows: DataFrame) -> DataFrame:
-        hub = rows.groupBy("key").agg(F.min("whole").alias("b"))
-        return rows.join(hub, "key").where("whole <> b").select(F.col("whole").alias("a"), "b").distinct()
-
-    links = verified(hubs(members))
-    for step in ("hub", "rest"):
-        labels = components(links.where("near"))
-        placed = members.join(labels.select(F.col("node").alias("whole"), "component"), "whole", "left").withColumn("component", F.coalesce("component", "whole"))
-        mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-        left = common.stored(placed.join(mixed, "key"), "passages-mixed")
-        if left.isEmpty():
-            break
-        if step == "hub":
-            pairs = hubs(left.groupBy("key", "component").agg(F.max("whole").alias("whole")))
-        else:
-            pairs = left.join(left.select("key", F.col("whole").alias("b"), F.col("component").alias("other")), "key").where("component < other").select(F.col("whole").alias("a"), "b").distinct()
+        return rows.where("whole <> b").select(F.col("whole").alias("a"), "b").distinct()
+
+    coarse_members = members(contents.select("whole", F.explode_outer("keys").alias("key")))
+    links = verified(hubs(coarse_members))
+    labels = components(links.where("near"))
+    placed = coarse_members.join(labels.select(F.col("node").alias("whole"), "component"), "whole", "left").withColumn("component", F.coalesce("component", "whole"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    left = common.stored(placed.join(mixed, "key").select("whole").distinct(), "passages-mixed")
+    if not left.isEmpty():
+        pairs = hubs(members(contents.join(left, "whole", "left_semi").select("whole", F.explode_outer("finer").alias("key"))))
         tried = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         links = links.unionByName(verified(pairs.join(tried, ["a", "b"], "left_anti")))
     labels = components(links.where("near")).select(F.col("node").alias("whole"), "component")
@@ -199,7 +203,7 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Hashes of the PASSAGE-word runs that hold the paragraphs at `places` of each text, with their first word."""
     for batch in batches:
         for doc, text, places in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "places")), strict=True):
-            h = word_hashes(words(text))
+            h = word_hashes(text)
             x = shingle_hashes(h, PASSAGE) if len(h) >= PASSAGE else h[:0]
             starts = (np.array(places)[:, None] - np.arange(PASSAGE - WORDS + 1)).ravel()
             starts = np.unique(starts[(starts >= 0) & (starts < len(x))])
@@ -246,12 +250,11 @@ def cut(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
 
-        word = re.compile(r"\S+\s*")
+        word = re.compile("[^\t-\r ]+[\t-\r ]*")
         for batch in batches:
             texts = []
             for text, cuts in zip(batch.column("text").to_pylist(), batch.column("_cuts").to_pylist(), strict=True):
                 if cuts:
-                    # \S+ and str.split() know the same white space
                     ends = [m.span() for m in word.finditer(text)]
                     kept, at = [], 0
                     for start, stop in cuts:  # by start; they may overlap
