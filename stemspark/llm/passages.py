@@ -127,32 +127,52 @@ def _keys(grams: np.ndarray, bands: int, rows: int, first: int) -> np.ndarray:
 
 
 def _contents(bands: int):
-    """The shingles and fine band keys of the paragraphs of (doc_id, text) rows."""
+    """The shingles and fine band keys of the paragraphs at `places` of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = WORDS - SHINGLE + 1
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                at, whole, grams = paragraphs(word_hashes(text))
-                if not len(at):
-                    continue
-                keys, finer = _keys(grams, bands, FINE_ROWS, 100), _keys(grams, FINER_BANDS, FINER_ROWS, 1000)
-                out = {"doc_id": pa.array(np.full(len(at), doc, np.int64)), "at": pa.array(at.astype(np.int32))}
-                out["whole"] = pa.array(whole.view(np.int64))
-                out |= {n: pa.array(list(v.view(np.int64)), pa.list_(pa.int64())) for n, v in (("grams", grams), ("keys", keys), ("finer", finer))}
+            for text, places, wholes in zip(*(batch.column(c).to_pylist() for c in ("text", "places", "wholes")), strict=True):
+                grams = shingle_hashes(word_hashes(text))[np.array(places)[:, None] + np.arange(width)]
+                out = {"whole": pa.array(wholes, pa.int64())}
+                out |= {n: pa.array(list(v.view(np.int64)), pa.list_(pa.int64())) for n, v in (("grams", grams), ("keys", _keys(grams, bands, FINE_ROWS, 100)))}
                 yield pa.RecordBatch.from_pydict(out)
 
     return run
 
 
+def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            keys = _keys(np.array(batch.column("grams").to_pylist(), np.int64).view(np.uint64), FINER_BANDS, FINER_ROWS, 1000)
+            yield pa.RecordBatch.from_pydict({"whole": pa.array(np.repeat(batch.column("whole").to_numpy(), FINER_BANDS)), "key": pa.array(keys.view(np.int64).ravel())})
+
+
+def _texts(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """doc_id and text of the rows that take part, one a doc_id (of several the smallest text), and whether a doc_id repeats."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
+    again = common.stored(texts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "passages-again")
+    if again.isEmpty():
+        return texts, False
+    again = common.small(again)
+    least = texts.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return texts.join(again, "doc_id", "left_anti").unionByName(least), True
+
+
+def _of(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """texts with the places that are asked of them; the lists are broadcast only if they are few."""
+    return texts.join(common.small(asked, 50_000), F.col("doc_id") == F.col("_id")).drop("_id")
+
+
 def repeated(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """doc_id, at (first word, from 0), class_id, removed: every paragraph whose class spans several documents.
 
-    Null text is empty text; texts under 26 words have no paragraph; rows with a null doc_id take no part; the rows of a
-    repeated doc_id are parts of one document; other columns are ignored; no repeats or an empty table give no rows.
+    Null text is empty text; texts under 26 words have no paragraph; rows with a null doc_id take no part; of the
+    rows of a repeated doc_id the smallest text counts; other columns are ignored; no repeats or an empty table give no rows.
     """
     spark = docs.sparkSession
     common.ship(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+    texts, _ = _texts(docs)
     coarse = texts.mapInArrow(_coarse, "doc_id long, at int, whole long, key long")
     # Pre-aggregated before the shuffle; then the rows of common keys, whose skew the join splits.
     spread = coarse.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key")
@@ -163,9 +183,10 @@ def repeated(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     kinds = common.stored(places.groupBy("whole").agg(first, F.max("doc_id").alias("hi")).select("whole", "first.doc_id", "first.at", F.col("first.doc_id").alias("lo"), "hi"), "passages-kinds")
 
     bands = tuned_bands(similar)
-    owners = common.small(kinds.select("doc_id").distinct())
-    contents = texts.join(owners, "doc_id", "left_semi").mapInArrow(_contents(bands), "doc_id long, at int, whole long, grams array<long>, keys array<long>, finer array<long>")
-    contents = common.stored(contents.join(kinds.select("whole", "doc_id", "at"), ["whole", "doc_id", "at"], "left_semi").dropDuplicates(["whole"]).select("whole", "grams", "keys", "finer"), "passages-contents")
+    # The paragraphs to read of a text, bounded by it.
+    asked = common.stored(kinds.groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_list(F.struct("at", "whole"))).alias("p")).select("_id", "p.at", "p.whole").toDF("_id", "places", "wholes"), "passages-asked")
+    contents = _of(texts, asked).mapInArrow(_contents(bands), "whole long, grams array<long>, keys array<long>")
+    contents = common.stored(contents, "passages-contents")
     grams = contents.select("whole", "grams")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -188,7 +209,7 @@ def repeated(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     left = common.stored(placed.join(mixed, "key").select("whole").distinct(), "passages-mixed")
     if not left.isEmpty():
-        pairs = hubs(members(contents.join(left, "whole", "left_semi").select("whole", F.explode_outer("finer").alias("key"))))
+        pairs = hubs(members(contents.join(common.small(left), "whole", "left_semi").select("whole", "grams").mapInArrow(_finer, "whole long, key long")))
         tried = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         links = links.unionByName(verified(pairs.join(tried, ["a", "b"], "left_anti")))
     labels = components(links.where("near")).select(F.col("node").alias("whole"), "component")
@@ -224,8 +245,8 @@ def spans(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     # The short runs' classes, wherever they are, with the passages around them.
     unsure = runs.join(common.small(short.select("class_id").distinct()), "class_id", "left_semi")
     asked = common.stored(unsure.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("at").alias("places")), "passages-asked")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    around = texts.join(common.small(asked, 200_000), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "places").mapInArrow(_passages, "doc_id long, start int, passage long")
+    texts, _ = _texts(docs)
+    around = _of(texts, asked).mapInArrow(_passages, "doc_id long, start int, passage long")
     around = common.stored(around, "passages-around")
     shared = around.groupBy("passage").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("passage")
     sure = around.join(shared, "passage").select("doc_id", F.col("start").alias("p")).distinct()
@@ -242,10 +263,17 @@ def spans(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
 
 def cut(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """docs with the removed runs of words cut out of text (each with the white space after it); n_chars, where there is
-    such a column, is set to the new length. Documents that lose all their words go. Other columns and documents stay."""
+    such a column, is set to the new length. Documents that lose all their words go. Other columns and documents stay, and so
+    do rows of a repeated doc_id whose text isn't the one that counts."""
     removed = spans(docs, similar).where("removed").groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_list(F.array("start", "stop"))).alias("_cuts"))
     removed = common.stored(removed, "passages-cuts")  # a row a document, bounded by its text
-    touched = docs.join(common.small(removed, 200_000), F.col("doc_id").cast("long") == F.col("_id"), "left")
+    texts, again = _texts(docs)
+    named = F.col("doc_id").cast("long") == F.col("_id")
+    if again:
+        counts = texts.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_h"))
+        removed = removed.join(counts, "_id")
+        named = named & (F.xxhash64(F.col("text").cast("string")) == F.col("_h"))
+    touched = docs.join(common.small(removed, 50_000), named, "left").drop("_h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
