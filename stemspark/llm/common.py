@@ -4,56 +4,18 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: Rows up to which a two-long lookup side is broadcast (checked by a count first); beyond it the join shuffles.
-BROADCAST_ROWS = 2_000_000
 
+from stemspark.storage import BROADCAST_ROWS, released, remove, scratch, small, stored  # noqa: F401
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder under spark.checkpoint.dir, which driver and executors share; a local one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='stemspark-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root}/{name}-{uuid.uuid4().hex}"
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written once as Parquet to the shared folder and read back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def released(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files whose results are stored already: its cleaner acts when the driver collects garbage."""
-    spark.sparkContext._jvm.System.gc()
-
-
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if a count proves it has at most `limit` (narrow) rows; else df, and the join shuffles."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def ship(spark: SparkSession) -> None:
     """Makes this package importable on executors, once a Spark context."""
     context = spark.sparkContext

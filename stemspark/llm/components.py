@@ -1,38 +1,3 @@
-"""Connected components of an edge table, without collecting any of it."""
+"""Connected components, as the package has them."""
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from . import common
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """node, component (its smallest node) for every node of edges(a, b); both long.
-
-    Each level hooks every node on the neighbour (or itself) with the smallest hash and contracts the edges by that map, so
-    the hash's random order shrinks chains as well as stars by a constant factor a level. The minimum per node is summed
-    map-side; the contraction is two equi-joins, whose skewed keys Spark splits. Levels are stored on shared storage.
-    Null ends and loops count for nothing (a loop makes no node); repeated and reversed edges are one edge.
-    """
-    both = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
-    current = common.stored(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-edges")
-    levels = []
-    while not current.isEmpty():
-        ways = current.select("a", "b").union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        near = ways.groupBy("a").agg(F.min(F.struct(F.xxhash64("b").alias("h"), F.col("b").alias("n"))).alias("m"))
-        self_ = F.struct(F.xxhash64("a").alias("h"), F.col("a").alias("n"))
-        hooks = common.stored(near.select(F.col("a").alias("node"), F.least("m", self_)["n"].alias("up")), "cc-hooks")
-        levels.append(hooks)
-        left, right = hooks.select(F.col("node").alias("a"), F.col("up").alias("ua")), hooks.select(F.col("node").alias("b"), F.col("up").alias("ub"))
-        raised = current.join(left, "a").join(right, "b").where("ua <> ub")
-        current = common.stored(raised.select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct(), "cc-edges")
-    if not levels:
-        return both.select(F.col("a").alias("node"), F.col("b").alias("component")).where(F.lit(False))
-    top = levels[-1].withColumnRenamed("up", "root")
-    for hooks in reversed(levels[:-1]):
-        above = top.select(F.col("node").alias("up"), F.col("root").alias("far"))
-        top = hooks.join(above, "up", "left").select("node", F.coalesce("far", "up").alias("root"))
-    smallest = top.groupBy("root").agg(F.min("node").alias("component"))
-    return common.stored(top.join(smallest, "root").select("node", "component"), "cc-labels")
+from stemspark.operators.graph import components  # noqa: F401
