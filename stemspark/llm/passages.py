@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import components
-from .shingles import SHINGLE, SIMILAR, mix, shingle_hashes, word_hashes
+from .shingles import SHINGLE, SIMILAR, mix, run_hashes, shingle_hashes, word_hashes
 
 WORDS = STEP = 26
 PASSAGE = WORDS + STEP - 1
@@ -84,10 +84,7 @@ def paragraphs(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not len(at):
         return paragraphs(h[:0])
     grams = x[at[:, None] + np.arange(width)]
-    whole = np.full(len(at), WORDS, np.uint64)
-    for i in range(width):
-        whole = mix(whole * _U(_GOLD) + grams[:, i])
-    return at, whole, grams
+    return at, run_hashes(h, WORDS)[at], grams
 
 
 def _minhash(grams: np.ndarray, i: int) -> np.ndarray:
@@ -101,9 +98,8 @@ def _coarse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             at, whole, grams = paragraphs(word_hashes(text))
             if len(at):
-                keys = np.stack([mix(_minhash(grams, i) + _U(i)) for i in range(COARSE)], axis=1)
-                out.append((np.full(len(at) * COARSE, doc, np.int64), np.repeat(at.astype(np.int32), COARSE), np.repeat(whole, COARSE), keys.ravel()))
-                size += len(at) * COARSE
+                out.append((np.full(len(at), doc, np.int64), at.astype(np.int32), whole, *(mix(_minhash(grams, i) + _U(i)) for i in range(COARSE))))
+                size += len(at)
             if size > 50_000:
                 yield _rows(out)
                 out, size = [], 0
@@ -112,8 +108,17 @@ def _coarse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rows(out: list[tuple]) -> pa.RecordBatch:
-    doc, at, whole, key = (np.concatenate([o[i] for o in out]) for i in range(4))
-    return pa.RecordBatch.from_pydict({"doc_id": pa.array(doc), "at": pa.array(at), "whole": pa.array(whole.view(np.int64)), "key": pa.array(key.view(np.int64))})
+    columns = [np.concatenate(c) for c in zip(*out, strict=True)]
+    return pa.RecordBatch.from_pydict({n: pa.array(c if c.dtype != np.uint64 else c.view(np.int64)) for n, c in zip(("doc_id", "at", "whole", *_COARSE_KEYS), columns, strict=True)})
+
+
+_COARSE_KEYS = [f"k{i}" for i in range(COARSE)]
+
+
+def _lists(values: np.ndarray) -> pa.Array:
+    """A row of the matrix a list."""
+    n, width = values.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * width, width), pa.int32()), pa.array(values.view(np.int64).ravel()))
 
 
 def _keys(grams: np.ndarray, bands: int, rows: int, first: int) -> np.ndarray:
@@ -135,7 +140,7 @@ def _contents(bands: int):
             for text, places, wholes in zip(*(batch.column(c).to_pylist() for c in ("text", "places", "wholes")), strict=True):
                 grams = shingle_hashes(word_hashes(text))[np.array(places)[:, None] + np.arange(width)]
                 out = {"whole": pa.array(wholes, pa.int64())}
-                out |= {n: pa.array(list(v.view(np.int64)), pa.list_(pa.int64())) for n, v in (("grams", grams), ("keys", _keys(grams, bands, FINE_ROWS, 100)))}
+                out |= {n: _lists(v) for n, v in (("grams", grams), ("keys", _keys(grams, bands, FINE_ROWS, 100)))}
                 yield pa.RecordBatch.from_pydict(out)
 
     return run
@@ -160,8 +165,8 @@ def _texts(docs: DataFrame) -> tuple[DataFrame, bool]:
 
 
 def _of(texts: DataFrame, asked: DataFrame) -> DataFrame:
-    """texts with the places that are asked of them; the lists are broadcast only if they are few."""
-    return texts.join(common.small(asked, 50_000), F.col("doc_id") == F.col("_id")).drop("_id")
+    """texts with the places that are asked of them: lists grow with the texts, so both sides are dealt by doc_id."""
+    return texts.join(asked.hint("merge"), F.col("doc_id") == F.col("_id")).drop("_id")
 
 
 def repeated(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -173,12 +178,13 @@ def repeated(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     spark = docs.sparkSession
     common.ship(spark)
     texts, _ = _texts(docs)
-    coarse = texts.mapInArrow(_coarse, "doc_id long, at int, whole long, key long")
+    found = texts.mapInArrow(_coarse, "doc_id long, at int, whole long, " + ", ".join(f"{k} long" for k in _COARSE_KEYS))
+    found = common.stored(found, "passages-all")
+    coarse = found.select("doc_id", "at", "whole", F.explode_outer(F.array(*_COARSE_KEYS)).alias("key"))
     # Pre-aggregated before the shuffle; then the rows of common keys, whose skew the join splits.
     spread = coarse.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key")
-    found = common.stored(coarse.join(spread, "key").select("doc_id", "at", "whole"), "passages-found")
+    places = common.stored(coarse.join(spread, "key").select("doc_id", "at", "whole").distinct(), "passages-places")
     common.released(spark)
-    places = common.stored(found.distinct(), "passages-places")
     first = F.min(F.struct("doc_id", "at")).alias("first")
     kinds = common.stored(places.groupBy("whole").agg(first, F.max("doc_id").alias("hi")).select("whole", "first.doc_id", "first.at", F.col("first.doc_id").alias("lo"), "hi"), "passages-kinds")
 
@@ -187,6 +193,7 @@ def repeated(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     asked = common.stored(kinds.groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_list(F.struct("at", "whole"))).alias("p")).select("_id", "p.at", "p.whole").toDF("_id", "places", "wholes"), "passages-asked")
     contents = _of(texts, asked).mapInArrow(_contents(bands), "whole long, grams array<long>, keys array<long>")
     contents = common.stored(contents, "passages-contents")
+    common.released(spark)
     grams = contents.select("whole", "grams")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -225,7 +232,7 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for doc, text, places in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "places")), strict=True):
             h = word_hashes(text)
-            x = shingle_hashes(h, PASSAGE) if len(h) >= PASSAGE else h[:0]
+            x = run_hashes(h, PASSAGE)
             starts = (np.array(places)[:, None] - np.arange(PASSAGE - WORDS + 1)).ravel()
             starts = np.unique(starts[(starts >= 0) & (starts < len(x))])
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(np.full(len(starts), doc, np.int64)), "start": pa.array(starts.astype(np.int32)), "passage": pa.array(x[starts].view(np.int64))})
@@ -248,6 +255,7 @@ def spans(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     texts, _ = _texts(docs)
     around = _of(texts, asked).mapInArrow(_passages, "doc_id long, start int, passage long")
     around = common.stored(around, "passages-around")
+    common.released(docs.sparkSession)
     shared = around.groupBy("passage").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("passage")
     sure = around.join(shared, "passage").select("doc_id", F.col("start").alias("p")).distinct()
     keys = short.select("doc_id", "at", "removed", "run")

@@ -60,3 +60,20 @@ def shingle_hashes(h: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     for i in range(1, size):
         x = mix(x * _GOLD + h[i : n - size + 1 + i])
     return x
+
+
+def run_hashes(h: np.ndarray, size: int) -> np.ndarray:
+    """Hash of each run of exactly `size` words, by doubling: as many passes as size has binary digits and ones."""
+    n = len(h) - size + 1
+    if n <= 0:
+        return h[:0]
+    out, done, span, x = None, 0, 1, h
+    while True:
+        if size & span:
+            part = x[done : done + n]
+            out = part.copy() if out is None else mix(out * _GOLD + part)
+            done += span
+        if done == size:
+            return out
+        x = mix(x[:-span] * _GOLD + x[span:])
+        span *= 2
