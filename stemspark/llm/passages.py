@@ -22,12 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 from .components import components
-from .shingles import SHINGLE, SIMILAR, mix, run_hashes, shingle_hashes, word_hashes
+from .shingles import SHINGLE, SIMILAR, joined_hashes, mix, run_hashes, shingle_hashes
 
 WORDS = STEP = 26
 PASSAGE = WORDS + STEP - 1
@@ -47,22 +48,6 @@ def tuned_bands(similar: float = SIMILAR, rows: int = FINE_ROWS, recall: float =
     return bands
 
 
-def anchors(x: np.ndarray, step: int = STEP) -> np.ndarray:
-    """Positions that hold the smallest value of some `step` consecutive ones."""
-    n = len(x)
-    if n <= step:
-        return np.flatnonzero(x == x.min())[:1] if n else np.zeros(0, np.int64)
-    low = _sliding(x, step, np.minimum)
-    pad = np.zeros(step - 1, low.dtype)
-    at = np.flatnonzero(_sliding(np.concatenate([pad, low, pad]), step, np.maximum) == x)
-    # Where one word repeats, neighbours are equal: of such a stretch every step-th position is enough.
-    same = np.append(False, (np.diff(at) == 1) & (x[at[1:]] == x[at[:-1]]))
-    if same.any():
-        start = np.maximum.accumulate(np.where(same, 0, np.arange(len(at))))
-        at = at[(np.arange(len(at)) - start) % step == 0]
-    return at
-
-
 def _sliding(x: np.ndarray, size: int, least) -> np.ndarray:
     """least over every `size` consecutive values, by doubling."""
     span = 1
@@ -72,47 +57,75 @@ def _sliding(x: np.ndarray, size: int, least) -> np.ndarray:
     return least(x[: len(x) - (size - span)], x[size - span :]) if size > span else x
 
 
-def paragraphs(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """From a text's word hashes: the first word of each paragraph, its hash, and its shingle hashes (a row each).
-    A text of fewer than WORDS words has none."""
-    width = WORDS - SHINGLE + 1
-    if len(h) < WORDS:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros((0, width), np.uint64)
-    x = shingle_hashes(h)
-    at = anchors(x)
-    at = at[at <= len(h) - WORDS]
-    if not len(at):
-        return paragraphs(h[:0])
-    grams = x[at[:, None] + np.arange(width)]
-    return at, run_hashes(h, WORDS)[at], grams
+def paragraphs(h: np.ndarray, first: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Where paragraphs start in the word hashes `h` of several texts in a row, whose first words are at `first`; x are the
+    shingle hashes of h. A text of fewer than WORDS words has none."""
+    stop = np.append(first[1:], len(h))
+    spans = stop - first - SHINGLE + 1  # shingles of a text
+    found = []
+    if len(x) >= STEP:
+        # The windows that lie in one text: the others get the value that never is the greatest.
+        low = _sliding(x, STEP, np.minimum)
+        inside = np.zeros(len(low) + 1, np.int32)
+        some = spans > STEP
+        np.add.at(inside, first[some], 1)
+        np.add.at(inside, (first + spans - STEP + 1)[some], -1)
+        low[np.cumsum(inside[:-1]) == 0] = 0
+        pad = np.zeros(STEP - 1, low.dtype)
+        at = np.flatnonzero(_sliding(np.concatenate([pad, low, pad]), STEP, np.maximum) == x)
+        # Where one word repeats, neighbours are equal: of such a stretch every STEP-th position is enough.
+        same = np.append(False, (np.diff(at) == 1) & (x[at[1:]] == x[at[:-1]])) if len(at) else np.zeros(0, bool)
+        if same.any():
+            start = np.maximum.accumulate(np.where(same, 0, np.arange(len(at))))
+            at = at[(np.arange(len(at)) - start) % STEP == 0]
+        found.append(at)
+    for i in np.flatnonzero((spans <= STEP) & (stop - first >= WORDS)):  # texts of a few words more than a paragraph
+        found.append(first[i : i + 1] + x[first[i] : first[i] + spans[i]].argmin())
+    at = np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    return at[at <= stop[np.searchsorted(first, at, "right") - 1] - WORDS] if len(first) else at
+
+
+def _factor(i: int) -> np.uint64:
+    return _U(int(mix(np.array([i + 1], np.uint64))[0]) | 1)
 
 
 def _minhash(grams: np.ndarray, i: int) -> np.ndarray:
-    return mix(grams ^ _U(_GOLD * (i + 1) & 0xFFFFFFFFFFFFFFFF)).min(axis=1)
+    """The smallest product with the i-th odd factor: shingle hashes are mixed already."""
+    return (grams * _factor(i)).min(axis=1)
 
 
-def _coarse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out: list[tuple] = []
-        size = 0
-        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            at, whole, grams = paragraphs(word_hashes(text))
-            if len(at):
-                out.append((np.full(len(at), doc, np.int64), at.astype(np.int32), whole, *(mix(_minhash(grams, i) + _U(i)) for i in range(COARSE))))
-                size += len(at)
-            if size > 50_000:
-                yield _rows(out)
-                out, size = [], 0
-        if out:
-            yield _rows(out)
+#: Bytes of texts that are hashed in one go, so that numpy's passes stay in cache; the last text of a group may be longer.
+GROUP_BYTES = 100_000
+_COARSE_KEYS = [f"k{i}" for i in range(COARSE)]
 
 
-def _rows(out: list[tuple]) -> pa.RecordBatch:
-    columns = [np.concatenate(c) for c in zip(*out, strict=True)]
-    return pa.RecordBatch.from_pydict({n: pa.array(c if c.dtype != np.uint64 else c.view(np.int64)) for n, c in zip(("doc_id", "at", "whole", *_COARSE_KEYS), columns, strict=True)})
+def _groups(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
+    """Texts in groups (of a batch): the word hashes of a group, the first word of each of its texts, and the other columns as lists."""
+    for batch in batches:
+        texts = batch.column("text")
+        rest = [batch.column(n).to_pylist() for n in names]
+        start, size = 0, 0
+        for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+            size += n
+            if size >= GROUP_BYTES or i + 1 == len(texts):
+                h, first = joined_hashes(texts.slice(start, i + 1 - start).to_pylist())
+                yield h, first, *(c[start : i + 1] for c in rest)
+                start, size = i + 1, 0
 
 
-_COARSE_KEYS = [f"k{i}" for i in range(COARSE)]
+def _coarse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    width = WORDS - SHINGLE + 1
+    for h, first, docs in _groups(batches, "doc_id"):
+        if len(h) < WORDS:
+            continue
+        x = shingle_hashes(h)
+        at = paragraphs(h, first, x)
+        of = np.searchsorted(first, at, "right") - 1
+        # first may repeat where a text has no words: the last of equal ones is the text that holds the word.
+        out = {"doc_id": pa.array(np.array(docs, np.int64)[of]), "at": pa.array((at - first[of]).astype(np.int32)), "whole": pa.array(run_hashes(h, WORDS)[at].view(np.int64))}
+        for i, k in enumerate(_COARSE_KEYS):
+            out[k] = pa.array(mix(_sliding(x * _factor(i), width, np.minimum)[at] + _U(i)).view(np.int64))
+        yield pa.RecordBatch.from_pydict(out)
 
 
 def _lists(values: np.ndarray) -> pa.Array:
@@ -136,12 +149,12 @@ def _contents(bands: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = WORDS - SHINGLE + 1
-        for batch in batches:
-            for text, places, wholes in zip(*(batch.column(c).to_pylist() for c in ("text", "places", "wholes")), strict=True):
-                grams = shingle_hashes(word_hashes(text))[np.array(places)[:, None] + np.arange(width)]
-                out = {"whole": pa.array(wholes, pa.int64())}
-                out |= {n: _lists(v) for n, v in (("grams", grams), ("keys", _keys(grams, bands, FINE_ROWS, 100)))}
-                yield pa.RecordBatch.from_pydict(out)
+        for h, first, places, wholes in _groups(batches, "places", "wholes"):
+            at = np.concatenate([np.array(p, np.int64) + f for p, f in zip(places, first, strict=True)])
+            grams = shingle_hashes(h)[at[:, None] + np.arange(width)]
+            out = {"whole": pa.array(np.concatenate([np.array(w, np.int64) for w in wholes]))}
+            out |= {n: _lists(v) for n, v in (("grams", grams), ("keys", _keys(grams, bands, FINE_ROWS, 100)))}
+            yield pa.RecordBatch.from_pydict(out)
 
     return run
 
@@ -149,14 +162,22 @@ def _contents(bands: int):
 def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            keys = _keys(np.array(batch.column("grams").to_pylist(), np.int64).view(np.uint64), FINER_BANDS, FINER_ROWS, 1000)
+            grams = batch.column("grams").flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)
+            keys = _keys(grams, FINER_BANDS, FINER_ROWS, 1000)
             yield pa.RecordBatch.from_pydict({"whole": pa.array(np.repeat(batch.column("whole").to_numpy(), FINER_BANDS)), "key": pa.array(keys.view(np.int64).ravel())})
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df stored; the shuffle files behind it are let go."""
+    out = common.stored(df, name)
+    common.released(df.sparkSession)
+    return out
+
+
 def _texts(docs: DataFrame) -> tuple[DataFrame, bool]:
     """doc_id and text of the rows that take part, one a doc_id (of several the smallest text), and whether a doc_id repeats."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    again = common.stored(texts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "passages-again")
+    again = kept(texts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "passages-again")
     if again.isEmpty():
         return texts, False
     again = common.small(again)
@@ -179,32 +200,30 @@ def repeated(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     common.ship(spark)
     texts, _ = _texts(docs)
     found = texts.mapInArrow(_coarse, "doc_id long, at int, whole long, " + ", ".join(f"{k} long" for k in _COARSE_KEYS))
-    found = common.stored(found, "passages-all")
+    found = kept(found, "passages-all")
     coarse = found.select("doc_id", "at", "whole", F.explode_outer(F.array(*_COARSE_KEYS)).alias("key"))
     # Pre-aggregated before the shuffle; then the rows of common keys, whose skew the join splits.
     spread = coarse.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key")
-    places = common.stored(coarse.join(spread, "key").select("doc_id", "at", "whole").distinct(), "passages-places")
-    common.released(spark)
+    places = kept(coarse.join(spread, "key").select("doc_id", "at", "whole").distinct(), "passages-places")
     first = F.min(F.struct("doc_id", "at")).alias("first")
-    kinds = common.stored(places.groupBy("whole").agg(first, F.max("doc_id").alias("hi")).select("whole", "first.doc_id", "first.at", F.col("first.doc_id").alias("lo"), "hi"), "passages-kinds")
+    kinds = kept(places.groupBy("whole").agg(first, F.max("doc_id").alias("hi")).select("whole", "first.doc_id", "first.at", F.col("first.doc_id").alias("lo"), "hi"), "passages-kinds")
 
     bands = tuned_bands(similar)
     # The paragraphs to read of a text, bounded by it.
-    asked = common.stored(kinds.groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_list(F.struct("at", "whole"))).alias("p")).select("_id", "p.at", "p.whole").toDF("_id", "places", "wholes"), "passages-asked")
+    asked = kept(kinds.groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_list(F.struct("at", "whole"))).alias("p")).select("_id", "p.at", "p.whole").toDF("_id", "places", "wholes"), "passages-asked")
     contents = _of(texts, asked).mapInArrow(_contents(bands), "whole long, grams array<long>, keys array<long>")
-    contents = common.stored(contents, "passages-contents")
-    common.released(spark)
+    contents = kept(contents, "passages-contents")
     grams = contents.select("whole", "grams")
 
     def verified(pairs: DataFrame) -> DataFrame:
         both = pairs.join(grams.select(F.col("whole").alias("a"), F.col("grams").alias("ga")), "a").join(grams.select(F.col("whole").alias("b"), F.col("grams").alias("gb")), "b")
         shared = F.size(F.array_intersect("ga", "gb"))
         near = shared >= similar * (F.size(F.array_distinct("ga")) + F.size(F.array_distinct("gb")) - shared)
-        return common.stored(both.select("a", "b", near.alias("near")), "passages-links")
+        return kept(both.select("a", "b", near.alias("near")), "passages-links")
 
     def members(keys: DataFrame) -> DataFrame:
         spread = keys.groupBy("key").agg(F.min("whole").alias("lo"), F.max("whole").alias("hi")).where("lo < hi").select("key", F.col("lo").alias("b"))
-        return common.stored(keys.join(spread, "key"), "passages-buckets")
+        return kept(keys.join(spread, "key"), "passages-buckets")
 
     def hubs(rows: DataFrame) -> DataFrame:
         return rows.where("whole <> b").select(F.col("whole").alias("a"), "b").distinct()
@@ -214,7 +233,7 @@ def repeated(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     labels = components(links.where("near"))
     placed = coarse_members.join(labels.select(F.col("node").alias("whole"), "component"), "whole", "left").withColumn("component", F.coalesce("component", "whole"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    left = common.stored(placed.join(mixed, "key").select("whole").distinct(), "passages-mixed")
+    left = kept(placed.join(mixed, "key").select("whole").distinct(), "passages-mixed")
     if not left.isEmpty():
         pairs = hubs(members(contents.join(common.small(left), "whole", "left_semi").select("whole", "grams").mapInArrow(_finer, "whole long, key long")))
         tried = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -229,33 +248,38 @@ def repeated(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
 
 def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Hashes of the PASSAGE-word runs that hold the paragraphs at `places` of each text, with their first word."""
-    for batch in batches:
-        for doc, text, places in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "places")), strict=True):
-            h = word_hashes(text)
-            x = run_hashes(h, PASSAGE)
-            starts = (np.array(places)[:, None] - np.arange(PASSAGE - WORDS + 1)).ravel()
-            starts = np.unique(starts[(starts >= 0) & (starts < len(x))])
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(np.full(len(starts), doc, np.int64)), "start": pa.array(starts.astype(np.int32)), "passage": pa.array(x[starts].view(np.int64))})
+    for h, first, docs, places in _groups(batches, "doc_id", "places"):
+        x = run_hashes(h, PASSAGE)
+        asked = np.zeros(len(h) + 1, np.int32)  # starts of runs that hold an asked paragraph and end in its text
+        stop = np.append(first[1:], len(h))
+        for f, s, p in zip(first, stop, places, strict=True):
+            at = np.array(p, np.int64) + f
+            low, high = np.maximum(at - (PASSAGE - WORDS), f), np.minimum(at, s - PASSAGE)
+            some = low <= high
+            np.add.at(asked, low[some], 1)
+            np.add.at(asked, high[some] + 1, -1)
+        starts = np.flatnonzero(np.cumsum(asked) > 0)
+        of = np.searchsorted(first, starts, "right") - 1
+        yield pa.RecordBatch.from_pydict({"doc_id": pa.array(np.array(docs, np.int64)[of]), "start": pa.array((starts - first[of]).astype(np.int32)), "passage": pa.array(x[starts].view(np.int64))})
 
 
 def spans(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """doc_id, start, stop (words, from 0, stop excluded), n_words, class_id (of the run's first paragraph), kept_doc_id (the
     document whose copy stays), removed: the passages that repeat across documents. Runs that stay and runs that are removed
     are rows of their own; a document's runs are bounded by its text. Odd input: as repeated() has it."""
-    found = common.stored(repeated(docs, similar), "passages-classes")
+    found = kept(repeated(docs, similar), "passages-classes")
     w = Window.partitionBy("doc_id", "removed").orderBy("at", "class_id")
     runs = found.withColumn("far", F.lag("at").over(w)).withColumn("run", F.sum(F.when(F.col("at") <= F.col("far") + WORDS, 0).otherwise(1)).over(w))
     whole = Window.partitionBy("doc_id", "removed", "run")
-    runs = common.stored(runs.withColumn("start", F.min("at").over(whole)).withColumn("stop", F.max("at").over(whole) + WORDS).drop("far"), "passages-runs")
+    runs = kept(runs.withColumn("start", F.min("at").over(whole)).withColumn("stop", F.max("at").over(whole) + WORDS).drop("far"), "passages-runs")
     short = runs.where(F.col("stop") - F.col("start") < PASSAGE)
 
     # The short runs' classes, wherever they are, with the passages around them.
     unsure = runs.join(common.small(short.select("class_id").distinct()), "class_id", "left_semi")
-    asked = common.stored(unsure.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("at").alias("places")), "passages-asked")
+    asked = kept(unsure.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("at").alias("places")), "passages-asked")
     texts, _ = _texts(docs)
     around = _of(texts, asked).mapInArrow(_passages, "doc_id long, start int, passage long")
-    around = common.stored(around, "passages-around")
-    common.released(docs.sparkSession)
+    around = kept(around, "passages-around")
     shared = around.groupBy("passage").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("passage")
     sure = around.join(shared, "passage").select("doc_id", F.col("start").alias("p")).distinct()
     keys = short.select("doc_id", "at", "removed", "run")
@@ -274,7 +298,7 @@ def cut(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     such a column, is set to the new length. Documents that lose all their words go. Other columns and documents stay, and so
     do rows of a repeated doc_id whose text isn't the one that counts."""
     removed = spans(docs, similar).where("removed").groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_list(F.array("start", "stop"))).alias("_cuts"))
-    removed = common.stored(removed, "passages-cuts")  # a row a document, bounded by its text
+    removed = kept(removed, "passages-cuts")  # a row a document, bounded by its text
     texts, again = _texts(docs)
     named = F.col("doc_id").cast("long") == F.col("_id")
     if again:

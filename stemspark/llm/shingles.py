@@ -32,16 +32,28 @@ def _grown(n: int) -> list[np.ndarray]:
 def word_hashes(text: str | None) -> np.ndarray:
     """A hash of each case-folded word between ASCII white space: sums of byte values times powers, taken from one running
     sum over the text and shifted back by the inverse power."""
-    data = np.frombuffer((text or "").lower().encode(), np.uint8)
-    if not len(data):
-        return np.zeros(0, np.uint64)
+    return _hashes((text or "").lower().encode())[0]
+
+
+def joined_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """word_hashes of the texts one after the other, and the place of each text's first word."""
+    data = [t.lower().encode() for t in texts]
+    h, starts = _hashes(b" ".join(data))
+    bounds = np.cumsum([0] + [len(d) + 1 for d in data[:-1]])
+    return h, np.searchsorted(starts, bounds)
+
+
+def _hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    data = np.frombuffer(raw, np.uint8)
+    if not _SPACE[data].size or _SPACE[data].all():
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     space = _SPACE[data]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     starts = edge[~space[edge]] if space[0] else np.concatenate([[0], edge[~space[edge]]])
     ends = edge[space[edge]] if space[-1] else np.concatenate([edge[space[edge]], [len(data)]])
     up, down = _grown(len(data))
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * up[: len(data)])])
-    return mix((total[ends] - total[starts]) * down[starts])
+    return mix((total[ends] - total[starts]) * down[starts]), starts
 
 
 def mix(x: np.ndarray) -> np.ndarray:
