@@ -163,6 +163,7 @@ def codec(rank_file: str, pattern: str) -> Codec:
     if (rank_file, pattern) not in _CODECS:
         _CODECS.clear()
         _CODECS[rank_file, pattern] = Codec(rank_file, pattern)
+        common.holds("bpe", _CODECS.clear)
     return _CODECS[rank_file, pattern]
 
 

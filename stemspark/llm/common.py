@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark import TaskContext
@@ -35,6 +37,23 @@ def task_partition() -> int:
     return context.partitionId() if context else 0
 
 
+_RELEASES: dict[str, Callable[[], None]] = {}
+
+
+def holds(owner: str, release: Callable[[], None]) -> None:
+    """Says how to let go what an operator keeps in a Python worker between its tasks."""
+    _RELEASES[owner] = release
+
+
+def sole(owner: str) -> None:
+    """Lets go what other operators keep in this worker: workers outlive a query's stages, and executors count their memory."""
+    others = [o for o in _RELEASES if o != owner]
+    for other in others:
+        _RELEASES.pop(other)()
+    if others:
+        gc.collect()
+
+
 class Bounded(dict):
     """A cache that forgets everything once it holds `most` entries."""
 

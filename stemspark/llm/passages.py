@@ -101,6 +101,7 @@ _COARSE_KEYS = [f"k{i}" for i in range(COARSE)]
 
 def _groups(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
     """Texts in groups (of a batch): the word hashes of a group, the first word of each of its texts, and the other columns as lists."""
+    common.sole("passages")
     for batch in batches:
         texts = batch.column("text")
         rest = [batch.column(n).to_pylist() for n in names]

@@ -152,6 +152,7 @@ def signatures(x: np.ndarray, w: np.ndarray, starts: np.ndarray, bands: int = BA
 
 def _band_rows(idf, bands: int = BANDS, rows: int = ROWS):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.sole("near")
         table = idf.value
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
@@ -175,6 +176,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf, least: float) -> DataFram
     joined = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.sole("near")
         table, hubs = idf.value, common.Bounded(64)
         for batch in batches:
             near = []
