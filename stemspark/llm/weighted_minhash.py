@@ -27,6 +27,8 @@ FLOOR = 1 / 4
 BANDS, ROWS = 10, 3
 #: The finer bands for documents whose buckets still hold several components: 0.988 at the least similarity, 0.1 at 0.6.
 FINE_BANDS, FINE_ROWS = 24, 8
+#: Members of a bucket that are compared with each other at a time, and the slots of the sums that bound a similarity.
+BLOCK, SLOTS = 1024, 256
 #: Shingles that are sampled at a time.
 CHUNK = 1 << 15
 _U = np.uint64
@@ -204,6 +206,59 @@ def _hubs(members: DataFrame) -> DataFrame:
     return members.join(hub, "bucket").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
 
 
+def _sums(idf):
+    """Each text's weights summed by slots of its shingles: the sum of the smaller sums of two texts is at least their overlap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.sole("near")
+        for batch in batches:
+            out = []
+            for text in batch.column("text").to_pylist():
+                x, w = weighted_set(text, idf.value)
+                out.append(np.bincount((x >> _U(20) & _U(SLOTS - 1)).astype(np.int64), w, SLOTS).astype(np.float32).tobytes())
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "sums": pa.array(out, pa.binary())})
+
+    return run
+
+
+def _cell(least: float):
+    """The pairs of a cell's two blocks (or one block) that lie in different components and may be similar enough."""
+
+    def run(cell: pa.Table) -> pa.Table:
+        import numpy as np
+
+        ids, component, block = (cell.column(c).to_numpy() for c in ("doc_id", "component", "block"))
+        sums = np.frombuffer(b"".join(cell.column("sums").to_pylist()), np.float32).reshape(len(ids), -1)
+        total = sums.sum(axis=1, dtype=np.float64)
+        one = cell.column("i")[0].as_py() == cell.column("j")[0].as_py()
+        pairs_a, pairs_b = [], []
+        for k in range(len(ids)):
+            other = np.arange(len(ids)) > k if one else block > block[k]
+            other &= (component != component[k]) & (np.minimum(total, total[k]) >= (least - 1e-4) * np.maximum(total, total[k]))
+            at = np.flatnonzero(other)
+            if len(at):
+                low = np.minimum(sums[at], sums[k]).sum(axis=1, dtype=np.float64)
+                at = at[low >= (least - 1e-4) * (total[at] + total[k] - low)]  # 1e-4: more than 32-bit sums are off
+                pairs_a.append(np.minimum(ids[at], ids[k]))
+                pairs_b.append(np.maximum(ids[at], ids[k]))
+        a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (pairs_a, pairs_b))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _rest(placed: DataFrame, texts: DataFrame, idf, least: float) -> DataFrame:
+    """The pairs(a, b) that share a bucket of placed(bucket, doc_id, component), lie in different components and may be similar
+    enough: the bound of _sums() is the only thing that leaves a pair out. Buckets are split into blocks, and each two
+    blocks of a bucket are a task's cell."""
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi")
+    left = common.stored(placed.join(mixed.select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "bucket"), "near-rest")
+    sums = texts.join(common.small(left.select("doc_id").distinct()), "doc_id", "left_semi").mapInArrow(_sums(idf), "doc_id long, sums binary")
+    left = left.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    left = left.select("bucket", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "doc_id", "component")
+    return left.join(common.stored(sums, "near-sums"), "doc_id").groupBy("bucket", "i", "j").applyInArrow(_cell(least), "a long, b long").distinct()
+
+
 def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     """doc_id, exact_id (smallest doc_id with the same text), class_id (smallest doc_id of the near-duplicate class), kept
     (one row of a class: the one with its smallest doc_id) for every row of docs(doc_id, text).
@@ -214,7 +269,8 @@ def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
 
     Copies collapse first. In each bucket every member is compared with the bucket's hub. Members of buckets that still hold
     several components are banded again, on finer and independent samples, and compared with those buckets' hubs. So groups
-    of near copies cost a few comparisons a member, however large they are; pairs of a group are never listed.
+    of near copies cost a few comparisons a member. Of the pairs that then still share a bucket but no component, each one
+    that a bound allows to be similar enough is compared: no pair that shares a bucket is left out unless it is connected.
     """
     spark = docs.sparkSession
     common.ship(spark)
@@ -239,15 +295,24 @@ def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
 
     links = common.stored(_verified(_hubs(members), texts, idf, least), "near-links")
     labels = components(links.where("near"))
-    placed = members.join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+
+    def placed_by(labels: DataFrame) -> DataFrame:
+        return members.join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+
+    def untried(pairs: DataFrame) -> DataFrame:
+        tried = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        return pairs.join(tried, ["a", "b"], "left_anti")
+
+    placed = placed_by(labels)
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
     left = common.stored(placed.join(mixed, "bucket").select("doc_id").distinct(), "near-mixed")
     if not left.isEmpty():
         fine = texts.join(common.small(left), "doc_id", "left_semi").mapInArrow(_band_rows(idf, FINE_BANDS, FINE_ROWS), "doc_id long, bucket long")
         pairs = _hubs(_ranked(common.stored(fine, "near-fine")))
-        tried = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        more = common.stored(_verified(pairs.join(tried, ["a", "b"], "left_anti"), texts, idf, least), "near-links")
-        labels = components(links.unionByName(more).where("near"))
+        links = links.unionByName(common.stored(_verified(untried(pairs), texts, idf, least), "near-links"))
+        pairs = common.stored(untried(_rest(placed_by(components(links.where("near"))), texts, idf, least)), "near-pairs")
+        links = links.unionByName(common.stored(_verified(pairs, texts, idf, least), "near-links"))
+        labels = components(links.where("near"))
     labels = labels.select(F.col("node").alias("exact_id"), "component")
     out = exact.join(labels, "exact_id", "left").select("doc_id", "exact_id", F.coalesce("component", "exact_id").alias("class_id"))
     if one:

@@ -84,6 +84,29 @@ def test_near_duplicates(docs):
     assert kept.count(6) == 1 and 11 not in kept and None in kept
 
 
+def test_near_duplicates_unlike_their_hub(spark):
+    """A template's variants resemble each other at about 0.7; some come in pairs that are near copies."""
+    own = random.Random(7)
+    word = lambda: f"w{own.randint(0, 10**6)}"
+    template, rows = [word() for _ in range(200)], []
+    for i in range(400):
+        tail = [word() for _ in range(18)]
+        rows.append((i, " ".join(template + tail)))
+        if i % 5 == 0:
+            tail[5] = tail[12] = word()
+            rows.append((1000 + i, " ".join(template + tail)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    idf = weighted_minhash.inverse(weighted_minhash.document_frequencies(docs), len(rows))
+    sets = [weighted_minhash.weighted_set(t, idf) for _, t in rows]
+    up = {d: d for d, _ in rows}
+    for i in range(len(rows)):
+        for j in range(i):
+            if weighted_minhash.similarity(sets[i], sets[j]) >= 0.8:
+                one, other = up[rows[i][0]], up[rows[j][0]]
+                up = {d: min(one, other) if c in (one, other) else c for d, c in up.items()}
+    assert {r["doc_id"]: r["class_id"] for r in weighted_minhash.classes(docs).collect()} == up and len(set(up.values())) == 400
+
+
 def test_quality_statistics(docs):
     rows = {r["doc_id"]: r for r in quality.statistics(docs.where("doc_id <> 6")).collect()}
     assert rows[3]["n_words"] == 100 and rows[4]["n_words"] == 0 and rows[3]["n_repeat_words"] == 0
