@@ -36,25 +36,50 @@ def file_digits(n: int) -> int:
     return digits
 
 
+def hashed(pages: DataFrame) -> DataFrame:
+    """digest, page_id, length, copies of the records of pages(page_id, url, html), hashed as they are."""
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    rows = rows.withColumn("digest", F.sha2(F.concat(F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("\n"), record()).cast("binary"), 256))
+    rows = rows.withColumn("length", F.octet_length(record()).cast("long"))
+    return rows.groupBy("digest", "page_id", "length").agg(F.count(F.lit(1)).cast("long").alias("copies"))
+
+
+def _number(digits: int):
+    return F.conv(F.substring("digest", 1, digits), 16, 10).cast("long") if digits else F.lit(0).cast("long")
+
+
 def archived(pages: DataFrame) -> DataFrame:
-    """The layout of pages(page_id, url, html) as an archive: file_no, offset, seq, length, copies, page_id, url, html, digest.
+    """The layout of pages(page_id, url, html) as an archive: file_no, offset, seq, length, copies, page_id, digest.
 
     A record's file is given by its digest's first digits and its place by the digest, so no page or host fills a file.
     Equal rows are one record with a count; null url and html are empty; a null page_id is a page like any other.
     """
-    n = pages.count()
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    rows = rows.withColumn("digest", F.sha2(F.concat(F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("\n"), record()).cast("binary"), 256))
-    rows = rows.withColumn("length", F.octet_length(record()).cast("long"))
-    copies = rows.groupBy("digest", "page_id", "length").agg(F.count(F.lit(1)).cast("long").alias("copies"))
-    digits = file_digits(n)
-    number = F.conv(F.substring("digest", 1, digits), 16, 10).cast("long") if digits else F.lit(0).cast("long")
-    placed = copies.withColumn("file_no", number)
+    placed = hashed(pages).withColumn("file_no", _number(file_digits(pages.count())))
     w = Window.partitionBy("file_no").orderBy("digest", "page_id")  # FILE_RECORDS narrow rows on average
     placed = placed.withColumn("seq", F.row_number().over(w).cast("long")).withColumn("offset", F.coalesce(F.sum("length").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))
     return common.stored(placed.select(*KEY, "length", "copies", "page_id", "digest"), "archive")
 
 
+def replica(pages: DataFrame, index: DataFrame) -> DataFrame:
+    """file_no, offset, seq, digest of a replica's own records, hashed from its pages(page_id, url, html) and put at the places
+    of the index, which is the primary's archived(). A record with a digest that the index has stands there; the others
+    of a page take, in order, the places of the page's records that the replica lacks; what then is left stands after the
+    end of the file that its digest names."""
+    index = index.select(*KEY, "length", "copies", "page_id", "digest")
+    found = common.stored(hashed(pages).select("page_id", "digest"), "replica-hashed")
+    intact = index.join(found.select("digest"), "digest", "left_semi").select(*KEY, "digest")
+    of_page = Window.partitionBy("page_id").orderBy("digest")
+    lacks = index.join(found, "digest", "left_anti").withColumn("n", F.row_number().over(of_page)).select(*KEY, F.col("page_id").alias("_page"), F.col("n").alias("_n"))
+    others = found.join(index, "digest", "left_anti").withColumn("n", F.row_number().over(of_page))
+    others = common.stored(others.join(lacks, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("n") == F.col("_n")), "left").select(*KEY, "digest"), "replica-others")
+    digits = file_digits(index.agg(F.sum("copies").alias("n")).first()["n"] or 0)
+    ends = index.groupBy("file_no").agg(F.max(F.col("offset") + F.col("length")).alias("end"), F.max("seq").alias("last"))
+    extra = others.where("seq is null").select("digest", _number(digits).alias("file_no")).join(ends, "file_no", "left")
+    after = F.row_number().over(Window.partitionBy("file_no").orderBy("digest"))
+    extra = extra.select("file_no", F.coalesce("end", F.lit(0)).cast("long").alias("offset"), (F.coalesce("last", F.lit(0)) + after).cast("long").alias("seq"), "digest")
+    return common.stored(intact.unionByName(others.where("seq is not null")).unionByName(extra), "replica")
+
+
 @dataclass(frozen=True)
 class Height:
     """Levels of ranges inside a file, and of files above them."""

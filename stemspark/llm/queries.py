@@ -44,15 +44,16 @@ def op6_diagonal_voting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
-def damaged(archive: DataFrame) -> DataFrame:
-    """The replica: records of some pages altered, of some others lost."""
+def damaged(pages: DataFrame) -> DataFrame:
+    """The replica's pages: bytes of some altered, some others lost."""
     hit = lambda rule: F.coalesce(F.pmod("page_id", F.lit(rule[0])) == rule[1], F.lit(False))
-    return archive.where(~hit(LOST)).withColumn("digest", F.when(hit(ALTERED), F.sha2(F.concat(F.lit("x"), "digest").cast("binary"), 256)).otherwise(F.col("digest")))
+    return pages.where(~hit(LOST)).withColumn("html", F.when(hit(ALTERED), F.concat(F.lit("x"), F.coalesce("html", F.lit("")))).otherwise(F.col("html")))
 
 
 def op7_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    archive = fixity.archived(table(spark, sf_dir, "pages"))
-    found = fixity.audit(archive, damaged(archive))
+    pages = table(spark, sf_dir, "pages")
+    archive = fixity.archived(pages)
+    found = fixity.audit(archive, fixity.replica(damaged(pages), archive))
     return found.join(archive, fixity.KEY).select("page_id", "file_no", "offset", "seq", "length", "copies", "status")
 
 

@@ -137,6 +137,16 @@ def test_fixity(spark):
     assert {(r["page_id"], r["status"]) for r in found} == {(5, "changed"), (9, "missing")}
 
 
+def test_replica_is_hashed_from_its_own_pages(spark):
+    rows = [(i, f"u{i}", "x" * i) for i in range(300)] + [(7, "u7", "other"), (None, None, None)]
+    kind = "page_id long, url string, html string"
+    archive = fixity.archived(spark.createDataFrame(rows, kind))
+    assert fixity.audit(archive, fixity.replica(spark.createDataFrame(rows, kind), archive)).count() == 0
+    harmed = [(i, u, "y" if i == 7 and h == "other" else h + "?" if i == 5 else h) for i, u, h in rows if i != 9] + [(1000, "new", "z")]
+    found = fixity.audit(archive, fixity.replica(spark.createDataFrame(harmed, kind), archive)).join(archive, fixity.KEY, "left").collect()
+    assert sorted((r["page_id"] or 0, r["status"]) for r in found) == [(0, "extra"), (5, "changed"), (7, "changed"), (9, "missing")]
+
+
 def test_nearest_neighbours_of_few(spark):
     rng = np.random.default_rng(2)
     rows = [(i, rng.standard_normal(16).tolist()) for i in range(300)] + [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16)]
