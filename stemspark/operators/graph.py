@@ -2,22 +2,53 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stemspark.storage import stored
+from stemspark.storage import ship, stored
+
+
+def linked(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For nodes 0 to n - 1 and edges a-b the smallest node of each one's component: roots hook on smaller roots, then paths
+    shrink to their roots, until no edge joins two of them."""
+    label = np.arange(n)
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return label
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(up := label[label], label):
+            label = up
+
+
+def _in_one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches]
+    a, b = (np.concatenate([p[i] for p in parts] or [np.zeros(0, np.int64)]) for i in (0, 1))
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    found = nodes[linked(len(nodes), at[: len(a)], at[len(a) :])] if len(nodes) else nodes
+    yield pa.RecordBatch.from_pydict({"node": pa.array(nodes, pa.int64()), "component": pa.array(found, pa.int64())})
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, one_task: int = 0) -> DataFrame:
     """node, component (its smallest node) for every node of edges(a, b); both long.
 
     Each level hooks every node on the neighbour (or itself) with the smallest hash and contracts the edges by that map, so
     the hash's random order shrinks chains as well as stars by a constant factor a level. The minimum per node is summed
     map-side; the contraction is two equi-joins, whose skewed keys Spark splits. Levels are stored on shared storage.
-    Null ends and loops count for nothing (a loop makes no node); repeated and reversed edges are one edge.
+    Null ends and loops count for nothing (a loop makes no node); repeated and reversed edges are one edge. Up to `one_task`
+    edges, which are counted first, go to one task instead.
     """
     both = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
     current = stored(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-edges")
+    if one_task and current.count() <= one_task:
+        ship(edges.sparkSession)
+        return stored(current.repartition(1).mapInArrow(_in_one_task, "node long, component long"), "cc-labels")
     levels = []
     while not current.isEmpty():
         ways = current.select("a", "b").union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))

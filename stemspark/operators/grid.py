@@ -19,11 +19,8 @@ def unpacked(key: Column) -> list[Column]:
 
 
 def finite(points: DataFrame) -> DataFrame:
-    """Without rows whose coordinates are null, NaN or infinite."""
-    ok = F.lit(True)
-    for c in ("x", "y", "z"):
-        ok = ok & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
-    return points.where(ok)
+    """Without rows whose coordinates are null, NaN or infinite (NaN compares as larger than every number)."""
+    return points.where(" and ".join(f"abs({c}) < double('Infinity')" for c in ("x", "y", "z")))
 
 
 def cells(points: DataFrame, res_xy: float, res_z: float) -> DataFrame:

@@ -11,7 +11,7 @@ NOT_COMPUTED, NOT_ENOUGH_POINTS, SUCCESS, TILT_OUTLIER, TOO_SMALL, TOO_LARGE, IN
 SOURCE_NONE, SOURCE_SECTION, SOURCE_SUPPORTED, SOURCE_PAIR, SOURCE_NEAREST = -1, 0, 1, 2, 3
 
 # Codes of how a run ended.
-RUN_SUCCESS, RUN_INVALID, RUN_TERRAIN_TOO_SMALL, RUN_NO_CLUSTERS, RUN_ERROR = 0, 1, 2, 3, 4
+RUN_SUCCESS, RUN_INVALID, RUN_TERRAIN_TOO_SMALL, RUN_NO_CLUSTERS = 0, 1, 2, 3
 
 NO_CLUSTER = -1
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stemspark.operators import ground
 from stemspark.params import FEW_SECTORS, INNER_POINTS, SUCCESS, TILT_OUTLIER, Draw, Georeference, Params
+from stemspark.storage import numbered
 
 #: States of sections whose circles are drawn.
 DRAWN = (SUCCESS, TILT_OUTLIER, INNER_POINTS, FEW_SECTORS)
@@ -74,6 +76,25 @@ def height_layer(trees: DataFrame) -> DataFrame:
     return trees.select("tree_no", "stem_id", *[F.col(f"highest_{c}").alias(c) for c in "xyz"], F.col("highest_z0").alias("z0"), "axis_valid", "height_found")
 
 
+def cloud_layer(points: DataFrame) -> DataFrame:
+    """All points with their height, their tree's id (-1: none) and their distance from its axis."""
+    return points.select("point_id", "x", "y", "z", "z0", F.col("tree_id").alias("tree_ID"), F.col("axis_distance").alias("dist_axes"))
+
+
+def stripe_layer(points: DataFrame) -> DataFrame:
+    """The points of stems in the stripe."""
+    return points.where(F.col("stem_id") >= 0).select("point_id", "x", "y", "z", F.col("stem_id").alias("tree_ID"))
+
+
+def terrain_layers(nodes: DataFrame) -> dict[str, DataFrame]:
+    """The terrain's nodes with the attribute invalid_ground, its triangles, and the nodes and triangles where it is valid."""
+    size = nodes.agg(F.max("col").alias("c"), F.max("row").alias("r")).first()
+    triangles = ground.mesh(nodes.sparkSession, (size["c"] or 0) + 1, (size["r"] or 0) + 1)
+    every = nodes.select("node_id", "x", "y", "z", (~F.col("is_valid")).alias("invalid_ground"))
+    valid = numbered(nodes.where("is_valid").select("node_id", "x", "y", "z"), "node_id", "vertex")
+    return {"terrain": every, "terrain_mesh": triangles, "valid_terrain": valid.select((F.col("vertex") - 1).cast("long").alias("vertex"), "x", "y", "z"), "valid_mesh": ground.valid_mesh(triangles, nodes)}
+
+
 def ranges(layer: DataFrame, *columns: str) -> DataFrame:
     """The least and greatest of each attribute, in one row."""
     return layer.agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("min", F.min), ("max", F.max))])

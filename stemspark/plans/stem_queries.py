@@ -9,7 +9,7 @@ from stemspark.functions import geometry
 from stemspark.operators import grid, ground, location, sections
 from stemspark.params import Draw, Params, Stem
 from stemspark.plans import exports, run
-from stemspark.plans.queries import _POINTS, forest, points
+from stemspark.plans.queries import _POINTS, forest, plot_sql, points
 from stemspark.storage import stored
 
 _STEP, _ROWS, _COLS = 0.45, 121, 41
@@ -87,21 +87,34 @@ def section_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def section_circles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cloud = forest(spark, sf_dir).where("z0 > 0").withColumn("stem_id", F.floor("x").cast("long") * 100_000 + F.floor("y").cast("long"))
-    return sections.circles(sections.slices(cloud, Stem()), Stem())
+    """The sections of the synthetic plot's stems, at the precision at which its formulas give them: a millimetre and a half."""
+    cloud = forest(spark, sf_dir).where("z0 > 0")
+    found = sections.circles(sections.slices(cloud.withColumn("stem_id", F.col("t")), Stem()), Stem())
+    middle = F.col("section_id") * Stem().interval + Stem().minimum_height + Stem().thickness / 2
+    true_radius = (0.1 + 0.01 * (F.col("stem_id") % 10)) * (1 - 0.03 * middle)
+    fits = F.when(F.col("n") >= Stem().minimum_points, F.abs(F.col("radius") - true_radius) < 0.0015)
+    return found.select("stem_id", "section_id", "n", "status", F.floor(F.col("sector_percentage") * 16 + 0.5).cast("long").alias("sectors"), "number_points_inner", fits.alias("fits"))
 
 
 def terrain_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ground.terrain(forest(spark, sf_dir), Params().ground)
+    """The nodes of the synthetic plot's terrain; near: within 5 cm of the plane that it is."""
+    nodes = ground.terrain(forest(spark, sf_dir), Params().ground)
+    return nodes.select("node_id", "row", "col", "is_valid", F.when(F.col("is_valid"), F.abs(F.col("z") - 0.05 * F.col("x")) < 0.05).alias("near"))
 
 
 def inventory_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole run on the synthetic plot, terrain model included."""
-    found = run.run_inventory(forest(spark, sf_dir).drop("z0")).trees
-    return found.select("tree_no", "stem_id", "dbh", "dbh_source", "loc_x", "loc_y", "loc_z", "highest_z0", "deviation_deg", "axis_valid")
+    """The whole run on the synthetic plot, terrain model included; a row a tree at the precision at which the plot's formulas give
+    it: place in decimetres, diameter in classes of a centimetre whose limits no true diameter is near, height in metres."""
+    found = run.run_inventory(forest(spark, sf_dir).drop("z0", "t")).trees
+    return found.select(F.floor(F.col("loc_x") * 10 + 0.5).cast("long").alias("x"), F.floor(F.col("loc_y") * 10 + 0.5).cast("long").alias("y"), F.floor(F.col("dbh") * 100 - 0.347).cast("long").alias("dbh"), "dbh_source", F.floor(F.col("highest_z0") + 0.5).cast("long").alias("height"), F.floor(F.col("deviation_deg") + 0.5).cast("long").alias("lean"), "axis_valid")
 
 
-QUERIES = {f.__name__: f for f in (filter_stem, ground_discrepancy, section_slices, quartile_outliers, tilt_votes, dbh_cascade, terrain_mesh, terrain_sweep, terrain_heights, circle_layer, section_values, section_circles, terrain_model, inventory_run)}
+def inventory_given_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The size of a plot whose heights are given: all points, the area of those near the ground."""
+    return run.plot_size(grid.finite(points(spark, sf_dir)), True)
+
+
+QUERIES = {f.__name__: f for f in (filter_stem, ground_discrepancy, section_slices, quartile_outliers, tilt_votes, dbh_cascade, terrain_mesh, terrain_sweep, terrain_heights, circle_layer, section_values, section_circles, terrain_model, inventory_run, inventory_given_heights)}
 
 _D = "CAST({} AS DOUBLE)".format
 _L = "CAST(floor({} * 10000 + 0.5) AS BIGINT)".format
@@ -109,7 +122,29 @@ _SECTIONS = f"sec AS (SELECT o_orderkey // 50 AS stem_id, CAST(o_orderkey % 50 A
 _OUT = "({0} < {1} - 1.5 * ({2} - {1}) OR {0} > {2} + 1.5 * ({2} - {1}))".format
 _NODE = "((({r}) * 7 + ({c}) * 13) % 10) * CAST(0.1 AS DOUBLE)".format
 
+_NEAR_5 = "near5 AS (SELECT * FROM sec WHERE abs(section_id - 5) <= 2 AND status >= 0)"
+_DBH = f"""WITH {_SECTIONS}, {_NEAR_5}, own AS (SELECT * FROM near5 WHERE section_id = 5), other AS (SELECT n.*, abs(n.z0 - coalesce(o.z0, {_D(1.3)})) AS d, o.radius AS own_radius FROM near5 n LEFT JOIN own o USING (stem_id) WHERE n.section_id <> 5),
+    pairs AS (SELECT a.stem_id, CASE WHEN a.d < b.d THEN a.radius ELSE b.radius END AS radius, a.d + b.d AS d, (a.status = 0)::INT + (b.status = 0)::INT AS good, abs(a.radius - b.radius) / least(a.radius, b.radius) AS r, a.section_id AS i, b.section_id AS j FROM other a JOIN other b ON a.stem_id = b.stem_id AND a.section_id < b.section_id AND abs(a.radius - b.radius) / least(a.radius, b.radius) < {_D(0.08)}),
+    pair AS (SELECT stem_id, first(radius ORDER BY d, good DESC, r, i, j) AS radius FROM pairs GROUP BY 1),
+    closest AS (SELECT stem_id, first(radius ORDER BY d, section_id) AS radius FROM other WHERE status = 0 GROUP BY 1),
+    backed AS (SELECT DISTINCT stem_id FROM other WHERE abs(radius - own_radius) / least(radius, own_radius) < {_D(0.08)}),
+    ruled AS (SELECT s.stem_id, own.radius AS o, pair.radius AS p, closest.radius AS c, CASE WHEN own.status = 0 THEN 0 WHEN backed.stem_id IS NOT NULL THEN 1 WHEN pair.radius IS NOT NULL THEN 2 WHEN closest.radius IS NOT NULL THEN 3 ELSE -1 END AS dbh_source
+        FROM (SELECT DISTINCT stem_id FROM sec) s LEFT JOIN own USING (stem_id) LEFT JOIN backed USING (stem_id) LEFT JOIN pair USING (stem_id) LEFT JOIN closest USING (stem_id))
+SELECT stem_id, dbh_source, {_L('(2 * CASE dbh_source WHEN 0 THEN o WHEN 1 THEN o WHEN 2 THEN p WHEN 3 THEN c ELSE 0 END)')} AS dbh FROM ruled"""
+_FRAC = "((p * CAST({0} AS DOUBLE)) - floor(p * CAST({0} AS DOUBLE)))".format
+_PLOT_XY = f"raw AS (SELECT o_orderkey * 64 + k.range AS p, o_orderkey % n AS t, side FROM orders, f1, range(64) k)"
+
 ORACLES = {
+    "dbh_cascade": _DBH,
+    "section_circles": f"WITH {plot_sql()}, {_PLOT_XY}, h AS (SELECT t, {_D(6)} * {_FRAC(0.7548776662466927)} AS z0 FROM raw WHERE p % 5 <> 0), s AS (SELECT CAST(range AS INT) AS section_id, {_D(0.3)} + range * {_D(0.2)} AS start FROM range({Stem().sections})), g AS (SELECT t AS stem_id, section_id, count(*) AS n FROM h JOIN s ON z0 > 0 AND z0 >= start AND z0 < start + {_D(0.05)} GROUP BY ALL) SELECT stem_id, section_id, n, CASE WHEN n >= 80 THEN 0 ELSE -1 END AS status, CASE WHEN n >= 80 THEN 16 ELSE 0 END AS sectors, 0 AS number_points_inner, CASE WHEN n >= 80 THEN true END AS fits FROM g",
+    "terrain_model": f"""WITH {plot_sql()}, {_PLOT_XY}, q AS (SELECT p, t, side, p % 5 = 0 AS ground, {_FRAC(0.6180339887498949)} AS fa, {_FRAC(0.7548776662466927)} AS fh FROM raw),
+    c AS (SELECT CASE WHEN ground THEN fa * (4 * side) ELSE 4 * (t % side) + 2 + {_D(0.02)} * (t % 3 - 1) * ({_D(6)} * fh) + ({_D(0.1)} + {_D(0.01)} * (t % 10)) * (1 - {_D(0.03)} * ({_D(6)} * fh)) * cos(2 * pi() * fa) END AS x, CASE WHEN ground THEN fh * (4 * side) ELSE 4 * (t // side) + 2 + ({_D(0.1)} + {_D(0.01)} * (t % 10)) * (1 - {_D(0.03)} * ({_D(6)} * fh)) * sin(2 * pi() * fa) END AS y FROM q),
+    b AS (SELECT min(x) - 2 * {_D(0.45)} AS x0, min(y) - 2 * {_D(0.45)} AS y0, CAST(floor((max(x) - min(x)) / {_D(0.45)}) AS BIGINT) + 5 AS w, CAST(floor((max(y) - min(y)) / {_D(0.45)}) AS BIGINT) + 5 AS h FROM c),
+    k AS (SELECT DISTINCT least(floor((y - y0) / {_D(0.45)} + 0.5), h - 1) AS r, least(floor((x - x0) / {_D(0.45)} + 0.5), w - 1) AS c FROM c, b),
+    n AS (SELECT range AS node_id, range // w AS r, range % w AS c FROM b, range((SELECT w * h FROM b)))
+SELECT node_id, CAST(n.r AS INT) AS row, CAST(n.c AS INT) AS col, k.r IS NOT NULL AS is_valid, CASE WHEN k.r IS NOT NULL THEN true END AS near FROM n LEFT JOIN k ON k.r = n.r AND k.c = n.c""",
+    "inventory_run": f"WITH {plot_sql()}, d AS (SELECT t, x + {_D(0.02)} * (t % 3 - 1) * {_D(1.325)} AS lx, y AS ly, 2 * ({_D(0.1)} + {_D(0.01)} * (t % 10)) * (1 - {_D(0.03)} * {_D(1.325)}) AS dbh, lean FROM true_trees) SELECT CAST(floor(lx * 10 + 0.5) AS BIGINT) AS x, CAST(floor(ly * 10 + 0.5) AS BIGINT) AS y, CAST(floor(dbh * 100 - {_D(0.347)}) AS BIGINT) AS dbh, 0 AS dbh_source, CAST(6 AS BIGINT) AS height, lean, true AS axis_valid FROM d",
+    "inventory_given_heights": f"WITH {_POINTS}, g AS (SELECT x, y FROM pts WHERE z < 0.5) SELECT (SELECT count(*) FROM pts) AS num_points, count(DISTINCT (floor(x - mx), floor(y - my))) AS area_m2 FROM g, (SELECT min(x) AS mx, min(y) AS my FROM g)",
     "filter_stem": f"WITH {_POINTS} SELECT point_id FROM pts WHERE z > {_D(0.3)} AND z < {_D(25.05)} AND (point_id % 30) * {_D(0.05)} + {_D(0.00005)} < 1",
     "ground_discrepancy": f"WITH {_POINTS}, g AS (SELECT x, y, z FROM pts WHERE z BETWEEN -0.1 AND 0.15), a AS (SELECT count(DISTINCT (floor(x - mx), floor(y - my), floor((z - mz) / {_D(0.2525)}))) AS a FROM g, (SELECT min(x) AS mx, min(y) AS my, min(z) AS mz FROM g)) SELECT abs(1000 - a) >= 100 AS differs, CAST(floor(abs(1000 - a) * 100 / {_D(1000)} * 1000 + 0.5) AS BIGINT) AS percent FROM a",
     "section_slices": f"WITH {_POINTS}, s AS (SELECT CAST(range AS INT) AS section_id, {_D(0.3)} + range * {_D(0.2)} AS start FROM range({Stem().sections})) SELECT point_id % 40 AS stem_id, section_id, count(*) AS n FROM pts JOIN s ON z >= start AND z < start + {_D(0.5)} GROUP BY ALL",

@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows up to which a two-long lookup side is broadcast (checked by a count first); beyond it the join shuffles.
@@ -61,3 +61,15 @@ def released(spark: SparkSession) -> None:
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if a count proves it has at most `limit` (narrow) rows; else df, and the join shuffles."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def numbered(df: DataFrame, by: str, name: str) -> DataFrame:
+    """df with its rows' ranks by column `by` (from 1) in column `name`: ranges are dealt out and sorted, and only their sizes, a
+    row a range, are summed in one place."""
+    ranged = df.repartitionByRange(by).withColumn("_range", F.spark_partition_id())
+    ranged = stored(ranged, "numbered")
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(by))
+    return ranged.join(F.broadcast(sizes), "_range").withColumn(name, (F.col("_before") + inside).cast("int")).drop("_range", "_before")

@@ -36,7 +36,7 @@ def test_verticality_against_numpy(spark):
     xyz = rng.random((60, 3))
     points = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(xyz)], "point_id long, x double, y double, z double")
     cells = grid.voxels(grid.cells(points, 0.05, 0.05))
-    got = {r["voxel_key"]: r["verticality"] for r in peel.verticality(cells, 0.4).collect()}
+    got = {r["voxel_key"]: r["verticality"] for r in peel.verticality(cells, 0.4, 0.05, 0.05).collect()}
     rows = cells.collect()
     centres = np.array([[r["x"], r["y"], r["z"]] for r in rows])
     for r, c in zip(rows, centres, strict=True):
