@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stemspark.storage import ship, stored
+from stemspark.storage import forget, ship, stored
 
 
 def linked(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -48,7 +48,9 @@ def components(edges: DataFrame, one_task: int = 0) -> DataFrame:
     current = stored(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-edges")
     if one_task and current.count() <= one_task:
         ship(edges.sparkSession)
-        return stored(current.repartition(1).mapInArrow(_in_one_task, "node long, component long"), "cc-labels")
+        found = stored(current.repartition(1).mapInArrow(_in_one_task, "node long, component long"), "cc-labels")
+        forget(current)
+        return found
     levels = []
     while not current.isEmpty():
         ways = current.select("a", "b").union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -58,7 +60,9 @@ def components(edges: DataFrame, one_task: int = 0) -> DataFrame:
         levels.append(hooks)
         left, right = hooks.select(F.col("node").alias("a"), F.col("up").alias("ua")), hooks.select(F.col("node").alias("b"), F.col("up").alias("ub"))
         raised = current.join(left, "a").join(right, "b").where("ua <> ub")
+        done = current
         current = stored(raised.select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct(), "cc-edges")
+        forget(done)
     if not levels:
         return both.select(F.col("a").alias("node"), F.col("b").alias("component")).where(F.lit(False))
     top = levels[-1].withColumnRenamed("up", "root")
@@ -66,4 +70,6 @@ def components(edges: DataFrame, one_task: int = 0) -> DataFrame:
         above = top.select(F.col("node").alias("up"), F.col("root").alias("far"))
         top = hooks.join(above, "up", "left").select("node", F.coalesce("far", "up").alias("root"))
     smallest = top.groupBy("root").agg(F.min("node").alias("component"))
-    return stored(top.join(smallest, "root").select("node", "component"), "cc-labels")
+    found = stored(top.join(smallest, "root").select("node", "component"), "cc-labels")
+    forget(current, *levels)
+    return found

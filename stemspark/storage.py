@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows up to which a two-long lookup side is broadcast (checked by a count first); beyond it the join shuffles.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 200_000
+#: Makes Spark delete an execution's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -46,16 +48,28 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written once as Parquet to the shared folder and read back: cuts the lineage and survives lost executors."""
+    """df written once as Parquet to the shared folder and read back: cuts the lineage and survives lost executors. The shuffle files
+    behind it go as soon as it is written."""
     spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def released(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files whose results are stored already: its cleaner acts when the driver collects garbage."""
-    spark.sparkContext._jvm.System.gc()
+    path, before = scratch(spark, name), spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes what stored() wrote of these tables. Nothing that is still to be computed may read them."""
+    for table in tables:
+        if path := getattr(table, "_stored_at", None):
+            remove(table.sparkSession, path)
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
