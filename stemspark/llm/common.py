@@ -3,33 +3,27 @@
 from __future__ import annotations
 
 import gc
-import os
-import tempfile
-import zipfile
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from stemspark.storage import BROADCAST_ROWS, released, remove, scratch, small, stored  # noqa: F401
+from stemspark.storage import BROADCAST_ROWS, forget, scratch, ship, small, stored  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Makes this package importable on executors, once a Spark context."""
-    context = spark.sparkContext
-    if getattr(context, "_stemspark_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    path = os.path.join(tempfile.mkdtemp(prefix="stemspark-"), "stemspark_package.zip")
-    with zipfile.ZipFile(path, "w") as out:
-        for p in sorted(root.rglob("*.py")):
-            out.write(p, p.relative_to(root.parent))
-    context.addPyFile(path)
-    context._stemspark_shipped = True
+def free(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like the wanted ones that no column of df has, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
 
 
 def task_partition() -> int:

@@ -26,8 +26,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stemspark.operators.graph import components
+
 from . import common
-from .components import components
 from .shingles import SHINGLE, SIMILAR, joined_hashes, mix, run_hashes, shingle_hashes
 
 WORDS = STEP = 26
@@ -168,17 +169,10 @@ def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"whole": pa.array(np.repeat(batch.column("whole").to_numpy(), FINER_BANDS)), "key": pa.array(keys.view(np.int64).ravel())})
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """df stored; the shuffle files behind it are let go."""
-    out = common.stored(df, name)
-    common.released(df.sparkSession)
-    return out
-
-
 def _texts(docs: DataFrame) -> tuple[DataFrame, bool]:
     """doc_id and text of the rows that take part, one a doc_id (of several the smallest text), and whether a doc_id repeats."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    again = kept(texts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "passages-again")
+    again = common.stored(texts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "passages-again")
     if again.isEmpty():
         return texts, False
     again = common.small(again)
@@ -201,30 +195,33 @@ def repeated(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     common.ship(spark)
     texts, _ = _texts(docs)
     found = texts.mapInArrow(_coarse, "doc_id long, at int, whole long, " + ", ".join(f"{k} long" for k in _COARSE_KEYS))
-    found = kept(found, "passages-all")
+    found = common.stored(found, "passages-all")
     coarse = found.select("doc_id", "at", "whole", F.explode_outer(F.array(*_COARSE_KEYS)).alias("key"))
-    # Pre-aggregated before the shuffle; then the rows of common keys, whose skew the join splits.
+    # Pre-aggregated before the shuffle and stored; then the rows of common keys, whose skew the join can split.
     spread = coarse.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key")
-    places = kept(coarse.join(spread, "key").select("doc_id", "at", "whole").distinct(), "passages-places")
+    spread = common.small(common.stored(spread, "passages-spread"))
+    places = common.stored(coarse.join(spread, "key").select("doc_id", "at", "whole").distinct(), "passages-places")
+    common.forget(found)
     first = F.min(F.struct("doc_id", "at")).alias("first")
-    kinds = kept(places.groupBy("whole").agg(first, F.max("doc_id").alias("hi")).select("whole", "first.doc_id", "first.at", F.col("first.doc_id").alias("lo"), "hi"), "passages-kinds")
+    kinds = common.stored(places.groupBy("whole").agg(first, F.max("doc_id").alias("hi")).select("whole", "first.doc_id", "first.at", F.col("first.doc_id").alias("lo"), "hi"), "passages-kinds")
 
     bands = tuned_bands(similar)
     # The paragraphs to read of a text, bounded by it.
-    asked = kept(kinds.groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_list(F.struct("at", "whole"))).alias("p")).select("_id", "p.at", "p.whole").toDF("_id", "places", "wholes"), "passages-asked")
+    asked = common.stored(kinds.groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_list(F.struct("at", "whole"))).alias("p")).select("_id", "p.at", "p.whole").toDF("_id", "places", "wholes"), "passages-asked")
     contents = _of(texts, asked).mapInArrow(_contents(bands), "whole long, grams array<long>, keys array<long>")
-    contents = kept(contents, "passages-contents")
+    contents = common.stored(contents, "passages-contents")
     grams = contents.select("whole", "grams")
 
     def verified(pairs: DataFrame) -> DataFrame:
         both = pairs.join(grams.select(F.col("whole").alias("a"), F.col("grams").alias("ga")), "a").join(grams.select(F.col("whole").alias("b"), F.col("grams").alias("gb")), "b")
         shared = F.size(F.array_intersect("ga", "gb"))
         near = shared >= similar * (F.size(F.array_distinct("ga")) + F.size(F.array_distinct("gb")) - shared)
-        return kept(both.select("a", "b", near.alias("near")), "passages-links")
+        return common.stored(both.select("a", "b", near.alias("near")), "passages-links")
 
     def members(keys: DataFrame) -> DataFrame:
         spread = keys.groupBy("key").agg(F.min("whole").alias("lo"), F.max("whole").alias("hi")).where("lo < hi").select("key", F.col("lo").alias("b"))
-        return kept(keys.join(spread, "key"), "passages-buckets")
+        spread = common.small(common.stored(spread, "passages-hubs"))
+        return common.stored(keys.join(spread, "key"), "passages-buckets")
 
     def hubs(rows: DataFrame) -> DataFrame:
         return rows.where("whole <> b").select(F.col("whole").alias("a"), "b").distinct()
@@ -234,7 +231,7 @@ def repeated(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     labels = components(links.where("near"))
     placed = coarse_members.join(labels.select(F.col("node").alias("whole"), "component"), "whole", "left").withColumn("component", F.coalesce("component", "whole"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    left = kept(placed.join(mixed, "key").select("whole").distinct(), "passages-mixed")
+    left = common.stored(placed.join(mixed, "key").select("whole").distinct(), "passages-mixed")
     if not left.isEmpty():
         pairs = hubs(members(contents.join(common.small(left), "whole", "left_semi").select("whole", "grams").mapInArrow(_finer, "whole long, key long")))
         tried = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -268,19 +265,19 @@ def spans(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """doc_id, start, stop (words, from 0, stop excluded), n_words, class_id (of the run's first paragraph), kept_doc_id (the
     document whose copy stays), removed: the passages that repeat across documents. Runs that stay and runs that are removed
     are rows of their own; a document's runs are bounded by its text. Odd input: as repeated() has it."""
-    found = kept(repeated(docs, similar), "passages-classes")
+    found = common.stored(repeated(docs, similar), "passages-classes")
     w = Window.partitionBy("doc_id", "removed").orderBy("at", "class_id")
     runs = found.withColumn("far", F.lag("at").over(w)).withColumn("run", F.sum(F.when(F.col("at") <= F.col("far") + WORDS, 0).otherwise(1)).over(w))
     whole = Window.partitionBy("doc_id", "removed", "run")
-    runs = kept(runs.withColumn("start", F.min("at").over(whole)).withColumn("stop", F.max("at").over(whole) + WORDS).drop("far"), "passages-runs")
+    runs = common.stored(runs.withColumn("start", F.min("at").over(whole)).withColumn("stop", F.max("at").over(whole) + WORDS).drop("far"), "passages-runs")
     short = runs.where(F.col("stop") - F.col("start") < PASSAGE)
 
     # The short runs' classes, wherever they are, with the passages around them.
     unsure = runs.join(common.small(short.select("class_id").distinct()), "class_id", "left_semi")
-    asked = kept(unsure.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("at").alias("places")), "passages-asked")
+    asked = common.stored(unsure.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("at").alias("places")), "passages-asked")
     texts, _ = _texts(docs)
     around = _of(texts, asked).mapInArrow(_passages, "doc_id long, start int, passage long")
-    around = kept(around, "passages-around")
+    around = common.stored(around, "passages-around")
     shared = around.groupBy("passage").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("passage")
     sure = around.join(shared, "passage").select("doc_id", F.col("start").alias("p")).distinct()
     keys = short.select("doc_id", "at", "removed", "run")
@@ -299,7 +296,7 @@ def cut(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     such a column, is set to the new length. Documents that lose all their words go. Other columns and documents stay, and so
     do rows of a repeated doc_id whose text isn't the one that counts."""
     removed = spans(docs, similar).where("removed").groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_list(F.array("start", "stop"))).alias("_cuts"))
-    removed = kept(removed, "passages-cuts")  # a row a document, bounded by its text
+    removed = common.stored(removed, "passages-cuts")  # a row a document, bounded by its text
     texts, again = _texts(docs)
     named = F.col("doc_id").cast("long") == F.col("_id")
     if again:

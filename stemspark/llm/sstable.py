@@ -210,12 +210,14 @@ class Reader:
         return np.frombuffer(value, f"<u{self.width}")
 
 
-# Encoding. White space never lies inside a token of this kind of vocabulary and ASCII case does not count, so texts are
-# folded and cut at ASCII white space; each distinct piece is encoded by the tokenizers library once a worker, one final
-# stop or comma after a letter apart (it is a pre-token of its own). A text's ids are its pieces' ids in order.
+# Encoding. The vocabulary's normaliser and pre-tokeniser never look across white space, nor do its added tokens hold any, so a
+# text's ids are those of its pieces between ASCII white space, in order; each distinct piece is encoded by the tokenizers library
+# once a worker, one final stop or comma after a letter apart (it is a pre-token of its own). The library folds case: where
+# a text is plain ASCII without "<|", which added tokens start with, folding it first spares pieces and changes nothing.
 
 _TOKENIZERS: dict = {}
-PIECES = 1_000_000
+#: Pieces that a worker keeps, and the bytes of one that it keeps.
+PIECES, PIECE_BYTES = 1_000_000, 256
 
 
 def _tokenizer(path: str):
@@ -226,18 +228,22 @@ def _tokenizer(path: str):
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
         _TOKENIZERS.clear()
         _TOKENIZERS[path] = t, 2 if t.get_vocab_size() <= 1 << 16 else 4, {}
     return _TOKENIZERS[path]
 
 
 def _stem(piece: bytes) -> tuple[bytes, bytes]:
-    """The piece and the final stop or comma that follows a letter."""
-    return (piece[:-1], piece[-1:]) if len(piece) > 1 and piece[-1] in b".," and 97 <= piece[-2] <= 122 else (piece, b"")
+    """The piece and the final stop or comma that follows an ASCII letter."""
+    return (piece[:-1], piece[-1:]) if len(piece) > 1 and piece[-1] in b".," and 97 <= piece[-2] | 32 <= 122 else (piece, b"")
 
 
-def _learn(tokenizer, width: int, known: dict[bytes, bytes], pieces: list[list[bytes]]) -> None:
+def _pieces(text: bytes) -> list[bytes]:
+    return (text.lower() if text.isascii() and b"<|" not in text else text).split()
+
+
+def _learn(tokenizer, width: int, known: dict[bytes, bytes], pieces: list[list[bytes]]) -> list[bytes]:
+    """Puts the ids of every piece into known; returns the pieces that are too long to be kept."""
     every = set().union(*pieces)
     new = every.difference(known)
     if len(known) + len(new) > PIECES:
@@ -253,15 +259,19 @@ def _learn(tokenizer, width: int, known: dict[bytes, bytes], pieces: list[list[b
     for p, (stem, end) in cut.items():
         if end:
             known[p] = known[stem] + known[end]
+    return [p for p in {*new, *todo} if len(p) > PIECE_BYTES]
 
 
 def encode_texts(texts: list[bytes | None], path: str, end_id: int) -> tuple[list[bytes], int]:
     """The ids of each text (UTF-8) and end_id, as bytes; and the bytes an id takes."""
     tokenizer, width, known = _tokenizer(path)
-    pieces = [(t or b"").lower().split() for t in texts]
-    _learn(tokenizer, width, known, pieces)
+    pieces = [_pieces(t or b"") for t in texts]
+    long_ = _learn(tokenizer, width, known, pieces)
     end = np.array([end_id], f"<u{width}").tobytes()
-    return [b"".join(map(known.__getitem__, text)) + end for text in pieces], width
+    out = [b"".join(map(known.__getitem__, text)) + end for text in pieces]
+    for p in long_:
+        known.pop(p, None)
+    return out, width
 
 
 def _write_shards(path: str, end_id: int, folder: str, shard_bytes: int):
@@ -285,8 +295,9 @@ def _write_shards(path: str, end_id: int, folder: str, shard_bytes: int):
                 values, width = encode_texts(texts[at : at + 256], path, end_id)
                 for identifier, value in zip(ids[at : at + 256], values, strict=True):
                     if writer is None:
-                        name = f"{base}/shard-{part:06d}-{len(done):05d}-{uuid.uuid4().hex}.sst"
-                        stream = fs.open_output_stream(name, compression=None)
+                        name = f"shard-{part:06d}-{len(done):05d}-{uuid.uuid4().hex}.sst"
+                        stream = fs.open_output_stream(f"{base}/{name}", compression=None)
+                        name = f"{folder}/{name}"
                         writer = Writer(stream, width)
                     writer.add(key_of(identifier), value)
                     if writer.offset >= shard_bytes:
@@ -302,7 +313,7 @@ def _write_shards(path: str, end_id: int, folder: str, shard_bytes: int):
 def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Encodes every whole text of docs(doc_id, text) and writes shards in ascending doc_id order.
 
-    Returns the manifest: part, seq (shards in order of both), file, n_docs, n_ids, n_bytes, start (ids in all shards
+    Returns the manifest: part, seq (shards in order of both), file (as a URI, like `folder`), n_docs, n_ids, n_bytes, start (ids in all shards
     before). Null text is empty text; a null doc_id sorts first; repeated doc_ids are kept, ordered by their text's hash;
     other columns are ignored; an empty table gives an empty manifest. A file belongs to the result only if the manifest
     names it, so a task that runs twice does no harm.
@@ -323,24 +334,21 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str
     return manifest.join(parts, "part").withColumn("start", F.col("before_part") + F.coalesce(inside, F.lit(0))).drop("before_part")
 
 
-def _read_shards(uri: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, _ = pafs.FileSystem.from_uri(uri)
-        for batch in batches:
-            for file, start in zip(batch.column("file").to_pylist(), batch.column("start").to_pylist(), strict=True):
-                rows: list[tuple] = []
-                with fs.open_input_file(file) as source:
-                    shard = Reader(source, source.size())
-                    for key, value in shard.scan():
-                        ids = shard.values(value).astype("<u4")
-                        rows.append((identifier_of(key), start, len(ids), zlib.crc32(ids.tobytes()), file))
-                        start += len(ids)
-                        if len(rows) == 20_000:
-                            yield _digest(rows)
-                            rows = []
-                yield _digest(rows)
-
-    return run
+def _read_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for file, start in zip(batch.column("file").to_pylist(), batch.column("start").to_pylist(), strict=True):
+            rows: list[tuple] = []
+            fs, path = pafs.FileSystem.from_uri(file)
+            with fs.open_input_file(path) as source:
+                shard = Reader(source, source.size())
+                for key, value in shard.scan():
+                    ids = shard.values(value).astype("<u4")
+                    rows.append((identifier_of(key), start, len(ids), zlib.crc32(ids.tobytes()), file))
+                    start += len(ids)
+                    if len(rows) == 20_000:
+                        yield _digest(rows)
+                        rows = []
+            yield _digest(rows)
 
 
 def _digest(rows: list[tuple]) -> pa.RecordBatch:
@@ -352,8 +360,8 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     """Reads the shards back: doc_id, start, n_tokens, ids_crc32 of each document, from its stored ids, and its shard."""
     spark = manifest.sparkSession
     n = max(1, min(10_000, manifest.count()))
-    uri = spark.conf.get("spark.checkpoint.dir", "file:///")
-    return manifest.select("file", "start").repartition(n).mapInArrow(_read_shards(uri), "doc_id long, start long, n_tokens long, ids_crc32 long, shard string")
+    common.ship(spark)
+    return manifest.select("file", "start").repartition(n).mapInArrow(_read_shards, "doc_id long, start long, n_tokens long, ids_crc32 long, shard string")
 
 
 def token_table(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> DataFrame:

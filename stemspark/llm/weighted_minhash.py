@@ -1,11 +1,13 @@
 """MinHash near-dedup for weighted sets: improved consistent weighted sampling over TF-IDF word shingles, banded, verified
 by weighted Jaccard similarity.
 
-A text's set is its 5-word shingles; a shingle weighs its count times its inverse document frequency. Document frequencies
-of all documents are kept in a sketch of fixed size: DEPTH tables of WIDTH counters, the smallest of a shingle's counters
-is its frequency. Its error is a fixed share of the documents (about distinct shingles a document / WIDTH, 1 %), so weights
-mean the same at every size: frequencies below FLOOR of all documents count as FLOOR. The floor is high on purpose: else
-the shingles of a large group of near copies, being frequent, would weigh less than the edits that tell the copies apart.
+A text's set is its 5-word shingles; a shingle weighs its count times its inverse document frequency. Frequencies are counted
+over one document of each family of likely copies: else the shingles of a large group of near copies, being frequent, would
+weigh less than the edits that tell the copies apart. A document is left out of the count (of nothing else) if it shares a
+band of plain MinHash values with one of a smaller doc_id. Frequencies are kept in a sketch of fixed size: DEPTH tables of
+WIDTH counters, the smallest of a shingle's counters is its frequency. Its error is a fixed share of the documents
+(about distinct shingles a document / WIDTH, 0.1 %), so weights mean the same at every size: frequencies below FLOOR of all
+counted documents count as FLOOR.
 """
 
 from __future__ import annotations
@@ -14,15 +16,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stemspark.operators.graph import components
+
 from . import common
-from .components import components
 from .shingles import SIMILAR, mix, shingle_hashes, word_hashes
 
-WIDTH, DEPTH, SLICE = 1 << 16, 2, 1 << 12
-FLOOR = 1 / 4
+WIDTH, DEPTH, SLICE = 1 << 18, 2, 1 << 12
+FLOOR = 1 / 256
+#: Bands and rows that tell families for the count: a pair at the least similarity shares a band with probability 0.998.
+FAMILY_BANDS, FAMILY_ROWS = 6, 2
 #: A pair at the least similarity shares a band with probability 1 - (1 - 0.8 ** ROWS) ** BANDS = 0.9992.
 BANDS, ROWS = 10, 3
 #: The finer bands for documents whose buckets still hold several components: 0.988 at the least similarity, 0.1 at 0.6.
@@ -35,12 +40,49 @@ _U = np.uint64
 
 
 def _slots(x: np.ndarray) -> list[np.ndarray]:
-    return [(x & _U(WIDTH - 1)).astype(np.int64), (x >> _U(40) & _U(WIDTH - 1)).astype(np.int64)]
+    return [(x & _U(WIDTH - 1)).astype(np.int64), (x >> _U(44) & _U(WIDTH - 1)).astype(np.int64)]
+
+
+def _family_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Band keys of plain MinHash values; texts without words have none."""
+    common.sole("near")
+    for batch in batches:
+        sets = [shingle_hashes(word_hashes(t)) for t in batch.column("text").to_pylist()]
+        some = [i for i, x in enumerate(sets) if len(x)]
+        group: list[int] = []
+        size = 0
+        for n, i in enumerate(some):
+            group.append(i)
+            size += len(sets[i])
+            if size >= CHUNK or n + 1 == len(some):
+                x = np.concatenate([sets[g] for g in group])
+                starts = np.cumsum([0] + [len(sets[g]) for g in group[:-1]])
+                keys = np.empty((len(group), FAMILY_BANDS), np.uint64)
+                for band in range(FAMILY_BANDS):
+                    key = np.full(len(group), band, np.uint64)
+                    for row in range(FAMILY_ROWS):
+                        factor = _U(int(mix(np.array([band * FAMILY_ROWS + row + 1], np.uint64))[0]) | 1)
+                        key = mix(key * _U(0x9E3779B97F4A7C15) + np.minimum.reduceat(x * factor, starts))
+                    keys[:, band] = key
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").take(pa.array(np.repeat(group, FAMILY_BANDS))), "bucket": pa.array(keys.view(np.int64).ravel())})
+                group, size = [], 0
+
+
+def followers(texts: DataFrame) -> DataFrame:
+    """doc_id of the texts(doc_id, text; doc_ids distinct) that share a family band with one of a smaller doc_id."""
+    common.ship(texts.sparkSession)
+    rows = common.stored(texts.mapInArrow(_family_rows, "doc_id long, bucket long"), "near-families")
+    firsts = rows.groupBy("bucket").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("bucket", "first")
+    firsts = common.stored(firsts, "near-firsts")  # stored, so that the join splits buckets with many members
+    found = common.stored(rows.join(firsts, "bucket").where("doc_id > first").select("doc_id").distinct(), "near-followers")
+    common.forget(rows, firsts)
+    return found
 
 
 def document_frequencies(docs: DataFrame) -> np.ndarray:
     """The sketch over every document's distinct shingles, int64[DEPTH, WIDTH]. Each task counts into one table of fixed size
     and hands on its slices; slices are added up by their number."""
+    common.ship(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros((DEPTH, WIDTH), np.uint32)
@@ -79,7 +121,7 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
 
     schema = "part int, counts binary"
     counted = docs.select("text").mapInArrow(count, schema)
-    # A slice holds DEPTH * WIDTH / SLICE = 32 keys at most, however many tasks there are.
+    # There are DEPTH * WIDTH / SLICE = 128 parts, however many tasks there are.
     rows = counted.repartition("part").mapInArrow(add, schema).collect()
     out = np.zeros((DEPTH * WIDTH // SLICE, SLICE), np.int64)
     for r in rows:
@@ -88,7 +130,7 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
 
 
 def inverse(sketch: np.ndarray, n: int) -> np.ndarray:
-    """ln(1 + n / frequency) for every counter, frequencies of at least FLOOR * n."""
+    """ln(1 + n / frequency) for every counter, frequencies of at least FLOOR * n (n: the documents counted)."""
     return np.log1p(max(n, 1) / np.maximum(sketch, max(1.0, FLOOR * n))).astype(np.float32)
 
 
@@ -195,14 +237,18 @@ def _ranked(members: DataFrame) -> DataFrame:
     """members(bucket, doc_id) of buckets with several documents, and each document's rank: the sizes of its buckets together.
     The text that copies derive from shares every band with most of them, so the highest rank makes the best hub."""
     full = members.groupBy("bucket").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi").select("bucket", "size")
-    members = common.stored(members.join(full, "bucket"), "near-buckets")
-    rank = members.groupBy("doc_id").agg(F.sum("size").alias("rank"))
-    return common.stored(members.join(rank, "doc_id").select("bucket", "doc_id", "rank"), "near-ranked")
+    full = common.stored(full, "near-full")
+    several = common.stored(members.join(full, "bucket"), "near-buckets")
+    rank = several.groupBy("doc_id").agg(F.sum("size").alias("rank"))
+    out = common.stored(several.join(rank, "doc_id").select("bucket", "doc_id", "rank"), "near-ranked")
+    common.forget(full, several)
+    return out
 
 
 def _hubs(members: DataFrame) -> DataFrame:
     """Each member of a bucket with the bucket's hub: the member with the highest rank. The join splits skewed buckets."""
     hub = members.groupBy("bucket").agg(F.max(F.struct("rank", F.col("doc_id").alias("b"))).alias("hub")).select("bucket", "hub.b")
+    hub = common.stored(hub, "near-hubs")
     return members.join(hub, "bucket").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
 
 
@@ -278,14 +324,16 @@ def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     known = rows.where("doc_id is not null")
     hashed = known.select("doc_id", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g"))
     hashed = hashed.groupBy("doc_id").agg(F.min(F.struct("h", "g")).alias("t")).select("doc_id", "t.h", "t.g")
-    firsts = hashed.groupBy("h", "g").agg(F.min("doc_id").alias("exact_id"))
+    hashed = common.stored(hashed, "near-hashed")
+    firsts = common.stored(hashed.groupBy("h", "g").agg(F.min("doc_id").alias("exact_id")), "near-firsts")
     exact = common.stored(hashed.join(firsts, ["h", "g"]).select("doc_id", "exact_id"), "near-exact")
 
-    n = rows.count()
-    idf = spark.sparkContext.broadcast(inverse(document_frequencies(rows), n))  # DEPTH * WIDTH floats, whatever the input
     one = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id").limit(1).count() == 0
     texts = known if one else known.withColumn("o", F.struct(F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g"))).join(hashed.select("doc_id", F.struct("h", "g").alias("o")), ["doc_id", "o"]).dropDuplicates(["doc_id"]).drop("o")
     reps = exact.where("doc_id = exact_id").select("doc_id")
+    later = followers(texts)  # exact copies are among them
+    n = hashed.count() - later.count()
+    idf = spark.sparkContext.broadcast(inverse(document_frequencies(texts.join(common.small(later), "doc_id", "left_anti")), n))  # DEPTH * WIDTH floats, whatever the input
     members = texts.mapInArrow(_band_rows(idf), "doc_id long, bucket long").join(reps, "doc_id", "left_semi")
     members = common.stored(members, "near-members")
     members = _ranked(members)
@@ -330,9 +378,12 @@ def keep_one(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     All columns stay as they are; rows with a null doc_id stay."""
     gone = classes(docs, least).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("doc_id is not null")
     repeated = gone.where("kept and n > 1").select("doc_id")
+    gone = common.stored(gone, "near-gone")
     out = docs.join(common.small(gone.where("not kept").select("doc_id")), "doc_id", "left_anti")
     if repeated.isEmpty():
         return out.select(*docs.columns)
     twice = out.join(repeated, "doc_id", "left_semi")
-    once = twice.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit("")))).orderBy("_h").dropDuplicates(["doc_id"]).drop("_h")
+    h, n = common.free(docs, "_h", "_n")
+    order = Window.partitionBy("doc_id").orderBy(h)  # WindowGroupLimit keeps one row a task of a doc_id that repeats often
+    once = twice.withColumn(h, F.xxhash64(F.coalesce("text", F.lit("")))).withColumn(n, F.row_number().over(order)).where(F.col(n) == 1)
     return out.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
