@@ -1,9 +1,10 @@
 """Approximate nearest neighbours by multi-index hashing over learned binary codes.
 
-A rotation learned on a bounded sample (principal axes, then iterative quantisation) turns vectors into codes. Codes are
-cut into substrings, each with an inverted index. By the pigeonhole principle a code within Hamming distance r of a query
-agrees with it up to floor(r / m) in some of the m substrings (and up to one less in all but r mod m + 1 of them), so
-probing those neighbours finds every code within r; those are ranked by their exact distance.
+A rotation learned on a bounded sample (principal axes, then iterative quantisation) turns vectors into codes of 64 bits. Codes
+are cut into substrings, each with an inverted index: index rows are dealt out by (substring, value), and queries are sent to
+the values that they probe. By the pigeonhole principle a code within Hamming distance r of a query agrees with it up to
+floor(r / m) in some of the m substrings (and up to one less in all but r mod m + 1 of them), so probing those values finds
+every code within r; those are ranked by their exact distance.
 """
 
 from __future__ import annotations
@@ -12,22 +13,25 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 #: Vectors that the rotation and the radius are learned from at most (smallest hashes of vec_id).
 SAMPLE = 8192
-#: Rows of an index block and of a query block: each pair of blocks is one unit of work of bounded memory.
-INDEX_BLOCK, QUERY_BLOCK = 16_384, 1_024
-SUBSTRING_BITS = 8
+BITS = 64
+#: Bits of a substring, and from how many distinct vectors on it is the longer: buckets then hold 1 / 65536 of them, not 1 / 256.
+SUBSTRING_BITS, LONG_SUBSTRING_BITS, LONG_FROM = 8, 16, 4_000_000
+#: Rows of a bucket that one task meets its queries with; a bucket with more is dealt to several, each with all its queries.
+BUCKET_ROWS = 4096
 #: Share of the sample's true neighbours that the first radius reaches; those of all rows are nearer.
 REACH = 0.97
 
-_POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
-_APART = _POPCOUNT[np.arange(256)[:, None] ^ np.arange(256)[None, :]]
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b)
 
 
 @dataclass
@@ -36,82 +40,71 @@ class Codes:
     rotation: np.ndarray  # dimensions x bits
     radius: int
 
-    @property
-    def substrings(self) -> int:
-        return self.rotation.shape[1] // SUBSTRING_BITS
-
     def encode(self, x: np.ndarray) -> np.ndarray:
-        return np.packbits((x - self.mean) @ self.rotation > 0, axis=1)
+        return np.packbits((x - self.mean) @ self.rotation > 0, axis=1).view(">i8").ravel().astype(np.int64)
 
 
 def learn(sample: np.ndarray, k: int, iterations: int = 40, seed: int = 7) -> Codes:
-    """Principal axes of the sample, then the rotation that brings it closest to the corners of the cube."""
+    """Principal axes of the sample, then the rotation that brings it closest to the corners of the cube. The radius is the
+    Hamming distance that REACH of the sample's k nearest neighbours lie within."""
     n, d = sample.shape
     mean = sample.mean(axis=0)
-    bits = max(SUBSTRING_BITS, d // SUBSTRING_BITS * SUBSTRING_BITS)
     x = sample - mean
     axes = np.linalg.eigh(x.T @ x + 1e-12 * np.eye(d))[1][:, ::-1]
     rng = np.random.default_rng(seed)
-    if bits > d:
-        axes = axes @ rng.standard_normal((d, bits))
-    axes = axes[:, :bits]
+    if d < BITS:
+        axes = axes @ rng.standard_normal((d, BITS))
+    axes = axes[:, :BITS]
     v = x @ axes
-    turn = np.linalg.qr(rng.standard_normal((bits, bits)))[0]
+    turn = np.linalg.qr(rng.standard_normal((BITS, BITS)))[0]
     for _ in range(iterations):
         u, _, t = np.linalg.svd(np.where(v @ turn > 0, 1.0, -1.0).T @ v)
         turn = (u @ t).T
-    codes = Codes(mean, axes @ turn, bits)
+    codes = Codes(mean, axes @ turn, BITS)
     if n > 1:
         packed = codes.encode(sample)
-        step = max(1, n // 256)
         reach = []
-        for i in range(0, n, step):
+        for i in range(0, n, max(1, n // 256)):
             apart = ((sample - sample[i]) ** 2).sum(axis=1)
             apart[i] = np.inf
             near = np.argsort(apart, kind="stable")[: min(k, n - 1)]
-            reach += _POPCOUNT[packed[near] ^ packed[i]].sum(axis=1).tolist()
+            reach += _apart(packed[near], packed[i]).tolist()
         codes.radius = int(np.quantile(reach, REACH, method="higher"))
     return codes
 
 
-class Block:
-    """An index block: for each substring, the rows ordered by its value and where each value starts."""
-
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, codes: Codes):
-        self.ids, self.vectors, self.codes = ids, vectors, codes
-        self.packed = codes.encode(vectors)
-        self.rows = [np.argsort(self.packed[:, s], kind="stable") for s in range(codes.substrings)]
-        self.starts = [np.searchsorted(self.packed[r, s], np.arange(257)) for s, r in enumerate(self.rows)]
-
-    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """Every row whose code is within the radius: probe, then count bits."""
-        m = self.codes.substrings
-        each, more = divmod(radius, m)
-        hit = np.zeros(len(self.ids), bool)
-        for s in range(m):
-            most = each if s <= more else each - 1
-            if most < 0:
-                continue
-            starts, rows = self.starts[s], self.rows[s]
-            for value in np.flatnonzero(_APART[code[s]] <= most):
-                hit[rows[starts[value] : starts[value + 1]]] = True
-        found = np.flatnonzero(hit)
-        return found[_POPCOUNT[self.packed[found] ^ code].sum(axis=1, dtype=np.int32) <= radius]
-
-    def nearest(self, query_id: int, vector: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k nearest of the rows within the first radius that reaches k of them (all rows, if there are no more)."""
-        code = self.codes.encode(vector[None])[0]
-        want = min(k, int((self.ids != query_id).sum()))
-        radius, top = min(self.codes.radius, 8 * self.codes.substrings), 8 * self.codes.substrings
-        while True:
-            found = self.within(code, radius)
-            found = found[self.ids[found] != query_id]
-            if len(found) >= want or radius >= top:
-                break
-            radius = min(top, radius + self.codes.substrings)
-        apart = np.sqrt(((self.vectors[found] - vector) ** 2).sum(axis=1))
-        order = np.lexsort((self.ids[found], apart))[:k]
-        return self.ids[found][order], apart[order]
+@dataclass(frozen=True)
+class Cut:
+    """How codes are cut into substrings."""
+
+    bits: int
+
+    @property
+    def count(self) -> int:
+        return BITS // self.bits
+
+    def limits(self, radius: int) -> list[int]:
+        """How far off each substring is probed; -1: not at all."""
+        each, more = divmod(radius, self.count)
+        return [each if s <= more else each - 1 for s in range(self.count)]
+
+    def part(self, code: Column, s: int) -> Column:
+        return F.shiftrightunsigned(code, BITS - self.bits * (s + 1)).bitwiseAND(F.lit((1 << self.bits) - 1))
+
+    def parts(self, code: Column) -> Column:
+        return F.explode(F.array(*[F.struct(F.lit(s).alias("s"), self.part(code, s).alias("value")) for s in range(self.count)]))
+
+    def masks(self, limits: list[int]) -> list[tuple[int, int]]:
+        """What a query's substring is changed by to give the values that it probes."""
+        weight = np.bitwise_count(np.arange(1 << self.bits))
+        return [(s, int(mask)) for s, most in enumerate(limits) for mask in np.flatnonzero(weight <= most)]
+
+    def first(self, x: Column, s: Column, limits: list[int]) -> Column:
+        """Whether s is the first of the substrings that find a code which is x off: each pair counts once."""
+        out = F.lit(True)
+        for i, most in enumerate(limits):
+            out = out & ((s <= i) | (F.bit_count(self.part(x, i)) > most))
+        return out
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -124,39 +117,103 @@ def usable(vectors: DataFrame) -> DataFrame:
     return x.where(F.size("embedding") == (lengths[0]["d"] if lengths else -1))
 
 
+def _encoded(rows: DataFrame, codes: Codes, narrow: bool) -> DataFrame:
+    """rows with vec (the embedding's bytes) and code in place of embedding. narrow: the components are single precision numbers."""
+    kind = np.float32 if narrow else np.float64
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                columns = {n: batch.column(n) for n in batch.schema.names if n != "embedding"}
+                yield pa.RecordBatch.from_pydict(columns | {"vec": pa.array([v.tobytes() for v in x.astype(kind)], pa.binary()), "code": pa.array(codes.encode(x))})
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "embedding")
+    return rows.mapInArrow(run, f"{kinds}, vec binary, code long")
+
+
+def _distances(narrow: bool):
+    kind = np.float32 if narrow else np.float64
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                a, b = (np.frombuffer(b"".join(part.column(c).to_pylist()), kind).reshape(part.num_rows, -1).astype(np.float64) for c in ("vec", "asked"))
+                yield pa.RecordBatch.from_pydict({"query_id": part.column("query_id"), "ids": part.column("ids"), "score": pa.array(np.sqrt(((a - b) ** 2).sum(axis=1)))})
+
+    return run
+
+
+def _less(ids: Column, own: Column, query_id: Column) -> Column:
+    """ids without one query_id where the row is the query's own vector."""
+    at = F.array_position(ids, query_id).cast("int")
+    rest = F.concat(F.slice(ids, F.lit(1), at - 1), F.slice(ids, at + 1, F.size(ids)))
+    return F.when(own & (at > 0), rest).otherwise(ids)
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score (Euclidean distance in double precision) of each query's k nearest found.
 
-    vectors(vec_id, embedding) are all indexed; queries(vec_id, embedding) may be a subset of them: a row with the query's
-    own vec_id is never its result. Vectors that usable() leaves out take no part; repeated rows are candidates each, a
-    repeated query counts once; ties go to the smaller vec_id; other columns are ignored; empty tables give no rows. Index
-    blocks are cut by the hash of the row, so equal vectors and equal ids spread; each pair of an index block and a query block
-    is searched by itself and gives at most k rows a query.
+    vectors(vec_id, embedding) are all indexed; queries(vec_id, embedding) may be a subset of them: of the rows with the query's
+    own vec_id and vector one is left out, the query's own. Vectors that usable() leaves out take no part; repeated rows are
+    candidates each, a vec_id that is asked for repeatedly counts once (with its least vector); ties go to the smaller
+    vec_id; other columns are ignored; empty tables give no rows.
+
+    Equal vectors are one index row with their k + 1 smallest ids, which is all that any answer can hold. Index rows and
+    probes meet in one equi-join on (substring, value), large buckets dealt to several tasks; a pair counts in the first
+    substring that finds it and goes on if the whole codes are within the radius; vectors come to the pairs that are left.
+    Queries that found fewer than k are asked again with a wider radius.
     """
     spark = vectors.sparkSession
     common.ship(spark)
+    narrow = vectors.schema["embedding"].dataType.simpleString() == "array<float>" == queries.schema["embedding"].dataType.simpleString()
     rows = usable(vectors)
     n = rows.count()
-    schema = "query_id long, vec_id long, score double"
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     learned = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toPandas()["embedding"]
     codes = learn(np.array(learned.tolist(), float), k)
-    blocks = -(-n // INDEX_BLOCK)
-    asked = usable(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    query_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    index = rows.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id", "embedding", F.lit(1)), F.lit(blocks)).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("q"))
-    probes = asked.select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("i"), F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int").alias("q"))
-
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        if len(left) and len(right):
-            block = Block(left["vec_id"].to_numpy(), np.array(left["embedding"].tolist(), float), codes)
-            for query, vector in zip(right["vec_id"], right["embedding"], strict=True):
-                ids, apart = block.nearest(query, np.asarray(vector, float), k)
-                out += zip([query] * len(ids), ids.tolist(), apart.tolist(), strict=True)
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-
-    found = index.groupBy("i", "q").cogroup(probes.groupBy("i", "q")).applyInPandas(run, schema)
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    hashes = [F.xxhash64("embedding").alias("h"), F.xxhash64(F.lit(1), "embedding").alias("g")]
+    least = Window.partitionBy("h", "g").orderBy("vec_id")
+    ids = rows.select("vec_id", *hashes).withColumn("n", F.row_number().over(least)).where(F.col("n") <= k + 1)
+    ids = ids.groupBy("h", "g").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    once = rows.select("embedding", *hashes).groupBy("h", "g").agg(F.first("embedding").alias("embedding"))
+    index = common.stored(_encoded(once.join(ids, ["h", "g"]), codes, narrow), "ann-index")
+    asked = usable(queries).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("embedding").alias("embedding"))
+    asked = asked.where(F.size("embedding") == learned.map(len).iloc[0])
+    asked = common.stored(_encoded(asked.select("query_id", *[c.alias(f"q{n}") for c, n in zip(hashes, "hg", strict=True)], "embedding"), codes, narrow), "ann-queries")
+
+    cut = Cut(LONG_SUBSTRING_BITS if index.count() > LONG_FROM else SUBSTRING_BITS)
+    entries = index.select("h", "g", "code", cut.parts(F.col("code")).alias("p")).select("h", "g", "code", "p.s", "p.value")
+    # At most cut.count * 2 ** cut.bits rows, whatever the input.
+    sizes = common.stored(entries.groupBy("s", "value").agg(F.ceil(F.count(F.lit(1)) / BUCKET_ROWS).cast("int").alias("deals")), "ann-sizes")
+    dealt = entries.join(F.broadcast(sizes), ["s", "value"]).withColumn("deal", F.pmod(F.xxhash64("h"), F.col("deals")).cast("int")).drop("deals")
+    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    radius, left, out = min(codes.radius, BITS), asked, None
+    while True:
+        limits = cut.limits(radius)
+        masks = F.broadcast(spark.createDataFrame(cut.masks(limits), "s int, mask long"))  # at most as many as `sizes` has
+        probes = left.select("query_id", F.col("code").alias("qcode"), cut.parts(F.col("code")).alias("p")).select("query_id", "qcode", "p.s", F.col("p.value").alias("v"))
+        probes = probes.join(masks, "s").select("query_id", "qcode", "s", F.col("v").bitwiseXOR(F.col("mask")).alias("value")).join(F.broadcast(sizes), ["s", "value"])
+        probes = probes.withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).drop("deals")
+        x = F.col("code").bitwiseXOR(F.col("qcode"))
+        met = dealt.join(probes, ["s", "value", "deal"]).where((F.bit_count(x) <= radius) & cut.first(x, F.col("s"), limits))
+        pairs = common.stored(met.select("query_id", "h", "g"), "ann-pairs")
+        wanted = left.select("query_id", "qh", "qg", F.col("vec").alias("asked"))
+        full = pairs.join(index.select("h", "g", "ids", "vec"), ["h", "g"]).join(common.small(wanted, 20_000), "query_id")
+        own = (F.col("h") == F.col("qh")) & (F.col("g") == F.col("qg"))
+        full = full.select("query_id", _less(F.col("ids"), own, F.col("query_id")).alias("ids"), "vec", "asked")
+        scored = full.mapInArrow(_distances(narrow), "query_id long, ids array<long>, score double").select("query_id", F.explode("ids").alias("vec_id"), "score")
+        found = common.stored(scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k), "ann-found")
+        common.forget(pairs)
+        out = found if out is None else out.join(left, "query_id", "left_anti").unionByName(found)
+        if radius >= BITS:
+            break
+        enough = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(k, n - 1)).select("query_id")
+        left = common.stored(left.join(enough, "query_id", "left_anti"), "ann-left")
+        if left.isEmpty():
+            break
+        radius = min(BITS, radius + cut.count)
+    return out.select("query_id", "rank", "vec_id", "score")
