@@ -13,7 +13,10 @@ whatever stands around it, and copies of the passage hold the same ones.
   3. Components of the verified links are the classes; the first paragraph of a class (smallest doc_id, then position)
      stays, the others are removed where the class spans more than one document.
   4. Neighbouring paragraphs merge into runs. A run shorter than PASSAGE = 51 words counts only if it lies in a run of 51
-     words that another document holds too, and then reaches as far as these do.
+     words that another document holds too, and then reaches as far as these do; or if 51 words around it and around the
+     paragraph of its class that stays are similar enough themselves (a word changed between two paragraphs leaves both short).
+  5. A text of fewer than 51 words holds no passage; it is one paragraph by itself and is repeated where another document's whole
+     text has the same words.
 """
 
 from __future__ import annotations
@@ -116,8 +119,14 @@ def _groups(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
 
 
 def _coarse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every paragraph with its keys; and every text below PASSAGE words, with the hash of all of them and its negative size."""
     width = WORDS - SHINGLE + 1
     for h, first, docs in _groups(batches, "doc_id"):
+        sizes = np.diff(np.append(first, len(h)))
+        if len(brief := np.flatnonzero((sizes > 0) & (sizes < PASSAGE))):
+            wholes = np.array([run_hashes(h[first[i] : first[i] + sizes[i]], int(sizes[i]))[0] for i in brief], np.uint64)
+            none = pa.nulls(len(brief), pa.int64())
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(np.array(docs, np.int64)[brief]), "at": pa.array(-sizes[brief].astype(np.int32)), "whole": pa.array(mix(wholes + sizes[brief].astype(np.uint64)).view(np.int64)), **dict.fromkeys(_COARSE_KEYS, none)})
         if len(h) < WORDS:
             continue
         x = shingle_hashes(h)
@@ -185,23 +194,29 @@ def _of(texts: DataFrame, asked: DataFrame) -> DataFrame:
     return texts.join(asked.hint("merge"), F.col("doc_id") == F.col("_id")).drop("_id")
 
 
+def _scanned(texts: DataFrame) -> DataFrame:
+    common.ship(texts.sparkSession)
+    return common.stored(texts.mapInArrow(_coarse, "doc_id long, at int, whole long, " + ", ".join(f"{k} long" for k in _COARSE_KEYS)), "passages-all")
+
+
 def repeated(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """doc_id, at (first word, from 0), class_id, removed: every paragraph whose class spans several documents.
+    """doc_id, at (first word, from 0), class_id, removed, kept_doc_id, kept_at (the paragraph that stays): every paragraph
+    whose class spans several documents.
 
     Null text is empty text; texts under 26 words have no paragraph; rows with a null doc_id take no part; of the
     rows of a repeated doc_id the smallest text counts; other columns are ignored; no repeats or an empty table give no rows.
     """
-    spark = docs.sparkSession
-    common.ship(spark)
     texts, _ = _texts(docs)
-    found = texts.mapInArrow(_coarse, "doc_id long, at int, whole long, " + ", ".join(f"{k} long" for k in _COARSE_KEYS))
-    found = common.stored(found, "passages-all")
+    return _repeated(texts, _scanned(texts), similar)
+
+
+def _repeated(texts: DataFrame, found: DataFrame, similar: float) -> DataFrame:
+    found = found.where("at >= 0")
     coarse = found.select("doc_id", "at", "whole", F.explode_outer(F.array(*_COARSE_KEYS)).alias("key"))
     # Pre-aggregated before the shuffle and stored; then the rows of common keys, whose skew the join can split.
     spread = coarse.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key")
     spread = common.small(common.stored(spread, "passages-spread"))
     places = common.stored(coarse.join(spread, "key").select("doc_id", "at", "whole").distinct(), "passages-places")
-    common.forget(found)
     first = F.min(F.struct("doc_id", "at")).alias("first")
     kinds = common.stored(places.groupBy("whole").agg(first, F.max("doc_id").alias("hi")).select("whole", "first.doc_id", "first.at", F.col("first.doc_id").alias("lo"), "hi"), "passages-kinds")
 
@@ -241,7 +256,7 @@ def repeated(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     spans = kinds.groupBy("class_id").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max("hi").alias("hi")).where("first.doc_id < hi")
     classed = kinds.select("whole", "class_id").join(spans.select("class_id", "first"), "class_id")
     out = places.join(classed, "whole")
-    return out.select("doc_id", "at", "class_id", (F.struct("doc_id", "at") != F.col("first")).alias("removed"), F.col("first.doc_id").alias("kept_doc_id"))
+    return out.select("doc_id", "at", "class_id", (F.struct("doc_id", "at") != F.col("first")).alias("removed"), F.col("first.doc_id").alias("kept_doc_id"), F.col("first.at").alias("kept_at"))
 
 
 def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,11 +276,65 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"doc_id": pa.array(np.array(docs, np.int64)[of]), "start": pa.array((starts - first[of]).astype(np.int32)), "passage": pa.array(x[starts].view(np.int64))})
 
 
+def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shingles within reach of each asked paragraph (PASSAGE words around it at most), and where the first of them stands."""
+    for h, first, docs, places in _groups(batches, "doc_id", "places"):
+        rows: list[tuple] = []
+        for doc, f, s, p in zip(docs, first, np.append(first[1:], len(h)), places, strict=True):
+            words = h[f:s]
+            for at in p:
+                low = max(0, at - (PASSAGE - WORDS))
+                rows.append((doc, at, low, shingle_hashes(words[low : at + PASSAGE]).view(np.int64)))
+        yield pa.RecordBatch.from_pydict({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "at": pa.array([r[1] for r in rows], pa.int32()), "low": pa.array([r[2] for r in rows], pa.int32()), "x": pa.array([r[3] for r in rows], pa.list_(pa.int64()))})
+
+
+def _alike(similar: float):
+    """Of two paragraphs with their surroundings: where 51 words begin, the same way off both, whose shingles are similar enough."""
+    width = PASSAGE - SHINGLE + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            c = batch.to_pydict()
+            for doc, at, low, x, kept_doc, kept_at, kept_low, y in zip(*(c[n] for n in ("doc_id", "at", "low", "x", "kept_doc_id", "kept_at", "kept_low", "y")), strict=True):
+                x, y = np.array(x), np.array(y)
+                for off in range(max(low - at, kept_low - kept_at), 1):
+                    i, j = at + off - low, kept_at + off - kept_low
+                    if i + width > len(x) or j + width > len(y):
+                        break
+                    a, b = np.unique(x[i : i + width]), np.unique(y[j : j + width])
+                    both = len(np.intersect1d(a, b, assume_unique=True))
+                    if both >= similar * (len(a) + len(b) - both):
+                        out += [(doc, at + off), (kept_doc, kept_at + off)]
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array([o[0] for o in out], pa.int64()), "p": pa.array([o[1] for o in out], pa.int32())})
+
+    return run
+
+
+def _like_kept(texts: DataFrame, short: DataFrame, similar: float) -> DataFrame:
+    """doc_id, p: where 51 words begin that resemble 51 words of the document whose copy of the paragraph stays."""
+    pairs = common.stored(short.where("doc_id <> kept_doc_id").select("doc_id", "at", "kept_doc_id", "kept_at"), "passages-pairs")  # a row a paragraph
+    places = pairs.select("doc_id", "at").union(pairs.select("kept_doc_id", "kept_at"))
+    asked = common.stored(places.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("at").alias("places")), "passages-asked")
+    around = common.stored(_of(texts, asked).mapInArrow(_around, "doc_id long, at int, low int, x array<long>"), "passages-around")
+    kept = around.select(F.col("doc_id").alias("kept_doc_id"), F.col("at").alias("kept_at"), F.col("low").alias("kept_low"), F.col("x").alias("y"))
+    met = pairs.join(around, ["doc_id", "at"]).join(kept, ["kept_doc_id", "kept_at"])
+    return met.mapInArrow(_alike(similar), "doc_id long, p int").distinct()
+
+
 def spans(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """doc_id, start, stop (words, from 0, stop excluded), n_words, class_id (of the run's first paragraph), kept_doc_id (the
     document whose copy stays), removed: the passages that repeat across documents. Runs that stay and runs that are removed
     are rows of their own; a document's runs are bounded by its text. Odd input: as repeated() has it."""
-    found = common.stored(repeated(docs, similar), "passages-classes")
+    texts, _ = _texts(docs)
+    scanned = _scanned(texts)
+    found = common.stored(_repeated(texts, scanned, similar), "passages-classes")
+    brief = scanned.where("at < 0").select("doc_id", (-F.col("at")).cast("long").alias("n_words"), "whole")
+    brief = common.stored(brief, "passages-brief")
+    common.forget(scanned)
+    same = brief.groupBy("whole").agg(F.min("doc_id").alias("kept_doc_id"), F.max("doc_id").alias("last")).where("kept_doc_id < last").drop("last")
+    same = common.small(common.stored(same, "passages-same"))
+    brief = brief.join(same, "whole").select("doc_id", F.lit(0).cast("long").alias("start"), F.col("n_words").alias("stop"), "n_words", F.col("whole").alias("class_id"), "kept_doc_id", (F.col("doc_id") != F.col("kept_doc_id")).alias("removed"))
     w = Window.partitionBy("doc_id", "removed").orderBy("at", "class_id")
     runs = found.withColumn("far", F.lag("at").over(w)).withColumn("run", F.sum(F.when(F.col("at") <= F.col("far") + WORDS, 0).otherwise(1)).over(w))
     whole = Window.partitionBy("doc_id", "removed", "run")
@@ -275,11 +344,13 @@ def spans(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     # The short runs' classes, wherever they are, with the passages around them.
     unsure = runs.join(common.small(short.select("class_id").distinct()), "class_id", "left_semi")
     asked = common.stored(unsure.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("at").alias("places")), "passages-asked")
-    texts, _ = _texts(docs)
     around = _of(texts, asked).mapInArrow(_passages, "doc_id long, start int, passage long")
     around = common.stored(around, "passages-around")
     shared = around.groupBy("passage").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("passage")
+    shared = common.small(common.stored(shared, "passages-shared"))
     sure = around.join(shared, "passage").select("doc_id", F.col("start").alias("p")).distinct()
+    sure = common.stored(sure.union(_like_kept(texts, short, similar)).distinct(), "passages-sure")
+    common.forget(around)
     keys = short.select("doc_id", "at", "removed", "run")
     sure = keys.select("doc_id", "removed", "run", F.explode(F.sequence(F.col("at") - (PASSAGE - WORDS), F.col("at"))).alias("p")).join(sure, ["doc_id", "p"])
     sure = sure.groupBy("doc_id", "removed", "run").agg(F.min("p").alias("lo"), (F.max("p") + PASSAGE).alias("hi"))
@@ -288,22 +359,24 @@ def spans(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     long_ = merged.where(F.col("stop") - F.col("start") >= PASSAGE)
     confirmed = merged.join(sure, ["doc_id", "removed", "run"]).withColumn("start", F.least("start", "lo")).withColumn("stop", F.greatest("stop", "hi"))
     out = long_.unionByName(confirmed.select(*long_.columns))
-    return out.select("doc_id", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), (F.col("stop") - F.col("start")).cast("long").alias("n_words"), "f.class_id", "f.kept_doc_id", "removed")
+    out = out.select("doc_id", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), (F.col("stop") - F.col("start")).cast("long").alias("n_words"), "f.class_id", "f.kept_doc_id", "removed")
+    return out.unionByName(brief)
 
 
 def cut(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """docs with the removed runs of words cut out of text (each with the white space after it); n_chars, where there is
     such a column, is set to the new length. Documents that lose all their words go. Other columns and documents stay, and so
     do rows of a repeated doc_id whose text isn't the one that counts."""
-    removed = spans(docs, similar).where("removed").groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_list(F.array("start", "stop"))).alias("_cuts"))
+    id_, cuts_, h_ = common.free(docs, "_id", "_cuts", "_h")
+    removed = spans(docs, similar).where("removed").groupBy(F.col("doc_id").alias(id_)).agg(F.array_sort(F.collect_list(F.array("start", "stop"))).alias(cuts_))
     removed = common.stored(removed, "passages-cuts")  # a row a document, bounded by its text
     texts, again = _texts(docs)
-    named = F.col("doc_id").cast("long") == F.col("_id")
+    named = F.col("doc_id").cast("long") == F.col(id_)
     if again:
-        counts = texts.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_h"))
-        removed = removed.join(counts, "_id")
-        named = named & (F.xxhash64(F.col("text").cast("string")) == F.col("_h"))
-    touched = docs.join(common.small(removed, 50_000), named, "left").drop("_h")
+        counts = texts.select(F.col("doc_id").alias(id_), F.xxhash64("text").alias(h_))
+        removed = removed.join(counts, id_)
+        named = named & (F.xxhash64(F.col("text").cast("string")) == F.col(h_))
+    touched = docs.join(common.small(removed, 50_000), named, "left").drop(h_)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
@@ -311,7 +384,7 @@ def cut(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
         word = re.compile("[^\t-\r ]+[\t-\r ]*")
         for batch in batches:
             texts = []
-            for text, cuts in zip(batch.column("text").to_pylist(), batch.column("_cuts").to_pylist(), strict=True):
+            for text, cuts in zip(batch.column("text").to_pylist(), batch.column(cuts_).to_pylist(), strict=True):
                 if cuts:
                     ends = [m.span() for m in word.finditer(text)]
                     kept, at = [], 0
@@ -323,10 +396,10 @@ def cut(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
                     if not text.strip():
                         text = None
                 texts.append(text)
-            columns = {n: batch.column(n) for n in batch.schema.names if n not in ("_id", "_cuts")} | {"text": pa.array(texts, pa.string())}
+            columns = {n: batch.column(n) for n in batch.schema.names if n not in (id_, cuts_)} | {"text": pa.array(texts, pa.string())}
             yield pa.RecordBatch.from_pydict(columns, schema=pa.schema([batch.schema.field(n) for n in columns]))
 
-    changed = touched.where("_cuts is not null").mapInArrow(run, docs.schema).where("text is not null")
+    changed = touched.where(F.col(cuts_).isNotNull()).mapInArrow(run, docs.schema).where("text is not null")
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return touched.where("_cuts is null").select(*docs.columns).unionByName(changed.select(*docs.columns))
+    return touched.where(F.col(cuts_).isNull()).select(*docs.columns).unionByName(changed.select(*docs.columns))
