@@ -77,6 +77,8 @@ class Codec:
 
         with open(rank_file, "rb") as lines:
             pairs = [(base64.b64decode(a), int(b)) for a, b in (line.split() for line in lines if line.strip())]
+        if len({t for t, _ in pairs}) < len(pairs):
+            raise ValueError("a token stands twice in the rank file")
         self.tokens = [t for t, _ in pairs]
         self.ranks = [r for _, r in pairs]
         self.hash = PerfectHash(self.tokens)

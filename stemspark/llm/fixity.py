@@ -3,7 +3,7 @@
 An archive is a set of files; a file's records lie at ordered offsets. Leaves are the records' digests; a file's tree
 groups them by ordered offset ranges (RANGE bytes, then FANOUT ranges a node) up to its root, and the files' roots are
 grouped FANOUT at a time up to the archive's root. Two replicas are compared from the root down, and only children of
-nodes that differ are read on.
+nodes that differ are read on: levels are stored in ranges of files, and a scan skips the ranges without a differing one.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from . import common
 RANGE, FANOUT = 64 << 10, 16
 #: Records that a file holds on average.
 FILE_RECORDS = 4096
+#: Differing files (or groups of files) up to which a level's scan is told their numbers.
+MOST_FILES = 1000
 KEY = ["file_no", "offset", "seq"]
 
 
@@ -48,6 +50,11 @@ def _number(digits: int):
     return F.conv(F.substring("digest", 1, digits), 16, 10).cast("long") if digits else F.lit(0).cast("long")
 
 
+def _sorted(rows: DataFrame) -> DataFrame:
+    """rows in ranges of files, so that readers of a few files skip the rest by the ranges' least and greatest file."""
+    return rows.repartitionByRange("file_no").sortWithinPartitions(*KEY)
+
+
 def archived(pages: DataFrame) -> DataFrame:
     """The layout of pages(page_id, url, html) as an archive: file_no, offset, seq, length, copies, page_id, digest.
 
@@ -57,7 +64,7 @@ def archived(pages: DataFrame) -> DataFrame:
     placed = hashed(pages).withColumn("file_no", _number(file_digits(pages.count())))
     w = Window.partitionBy("file_no").orderBy("digest", "page_id")  # FILE_RECORDS narrow rows on average
     placed = placed.withColumn("seq", F.row_number().over(w).cast("long")).withColumn("offset", F.coalesce(F.sum("length").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))
-    return common.stored(placed.select(*KEY, "length", "copies", "page_id", "digest"), "archive")
+    return common.stored(_sorted(placed.select(*KEY, "length", "copies", "page_id", "digest")), "archive")
 
 
 def replica(pages: DataFrame, index: DataFrame) -> DataFrame:
@@ -77,7 +84,7 @@ def replica(pages: DataFrame, index: DataFrame) -> DataFrame:
     extra = others.where("seq is null").select("digest", _number(digits).alias("file_no")).join(ends, "file_no", "left")
     after = F.row_number().over(Window.partitionBy("file_no").orderBy("digest"))
     extra = extra.select("file_no", F.coalesce("end", F.lit(0)).cast("long").alias("offset"), (F.coalesce("last", F.lit(0)) + after).cast("long").alias("seq"), "digest")
-    return common.stored(intact.unionByName(others.where("seq is not null")).unionByName(extra), "replica")
+    return common.stored(_sorted(intact.unionByName(others.where("seq is not null")).unionByName(extra)), "replica")
 
 
 @dataclass(frozen=True)
@@ -113,7 +120,8 @@ def tree(leaves: DataFrame, tall: Height) -> list[DataFrame]:
             parent = F.col("a"), F.floor(F.col("b") / FANOUT).cast("long")
         else:  # roots of files, then groups of files
             parent = F.floor(F.col("a") / FANOUT).cast("long"), F.lit(-1).cast("long")
-        levels.append(common.stored(up.select("a", "b", "seq", "digest", parent[0].alias("pa"), parent[1].alias("pb")), f"merkle-{i}"))
+        up = up.select("a", "b", "seq", "digest", parent[0].alias("pa"), parent[1].alias("pb"))
+        levels.append(common.stored(up.repartitionByRange("pa").sortWithinPartitions("pa", "pb") if i < tall.ranges else up, f"merkle-{i}"))
     return levels
 
 
@@ -123,14 +131,19 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
     stand at the offsets of the common index, so a lost record doesn't move the others."""
     tall = height(primary, replica)
     a, b = tree(primary, tall), tree(replica, tall)
-    ask = None
+    ask = wanted = None
     for i in range(len(a) - 1, -1, -1):
         left = a[i].select("a", "b", "seq", F.col("pa").alias("la"), F.col("pb").alias("lb"), F.col("digest").alias("one"))
         right = b[i].select("a", "b", "seq", F.col("pa").alias("la"), F.col("pb").alias("lb"), F.col("digest").alias("two"))
+        if wanted:
+            left, right = left.where(F.col("la").isin(wanted)), right.where(F.col("la").isin(wanted))
         if ask is not None:
             left, right = left.join(ask, ["la", "lb"], "left_semi"), right.join(ask, ["la", "lb"], "left_semi")
         both = left.join(right, ["a", "b", "seq"], "full").where(~F.col("one").eqNullSafe(F.col("two")))
         differ = common.stored(both.select("a", "b", "seq", "one", "two"), f"merkle-differ-{i}")
         ask = common.small(differ.select(F.col("a").alias("la"), F.col("b").alias("lb")))
+        # Few files: their numbers go to the scan, which skips the others' ranges; many: the join alone picks the nodes.
+        files = [r["a"] for r in differ.select("a").distinct().limit(MOST_FILES + 1).collect()]
+        wanted = files if len(files) <= MOST_FILES else None
     status = F.when(F.col("two").isNull(), "missing").when(F.col("one").isNull(), "extra").otherwise("changed")
     return differ.select(F.col("a").alias("file_no"), F.col("b").alias("offset"), "seq", status.alias("status"))

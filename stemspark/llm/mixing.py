@@ -87,8 +87,8 @@ def epochs_of(rows: DataFrame, mix: Mix) -> DataFrame:
     full = F.when(F.col("leaf_tokens") > 0, F.floor(F.col("budget") / F.col("leaf_tokens"))).otherwise(0).cast("long")
     plan = plan.withColumn("full", full).withColumn("rest", F.col("budget") - F.col("full") * F.col("leaf_tokens"))
     plan = common.small(common.stored(plan, "mix-plan"), 100_000)
-    # A null doc_id is written as nothing; rows with the same id and text are told apart by nothing but stay together.
-    keyed = rows.join(plan, list(LEVELS)).withColumn("key", F.md5(F.concat_ws(":", F.lit(str(mix.seed)), F.col("full") + 1, F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
+    # A null doc_id is written as nothing; the text's digest keeps rows with one id, or none, from falling into one range.
+    keyed = rows.join(plan, list(LEVELS)).withColumn("key", F.md5(F.concat_ws(":", F.lit(str(mix.seed)), F.col("full") + 1, F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("order"))))
     keyed = keyed.withColumn("spent", F.lit(0).cast("long"))
     decided = []
     for cut in range(CUTS):
@@ -118,12 +118,12 @@ def mixed(docs: DataFrame, mix: Mix, domain: Column | None = None) -> DataFrame:
     """doc_id, domain, lang, source, n_tokens, leaf_tokens, budget, epochs for every row of docs(doc_id, text, lang, source).
 
     Null text has no tokens; null domain, lang and source are the child "(none)"; null and repeated doc_ids are rows like any
-    other (rows with the same doc_id in a leaf are neighbours in its order); other columns are ignored; an empty table
+    other (only rows with the same doc_id and text are neighbours in a leaf's order); other columns are ignored; an empty table
     gives no rows. A leaf's order is never sorted as a whole.
     """
     domain = domain_of(F.col("source").cast("string")) if domain is None else domain
     names = {"domain": domain, "lang": F.col("lang").cast("string"), "source": F.col("source").cast("string")}
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.coalesce(c, F.lit(NONE)).alias(n) for n, c in names.items()], tokens_of(F.col("text").cast("string")).alias("tokens"), F.xxhash64(F.col("text").cast("string")).alias("row"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.coalesce(c, F.lit(NONE)).alias(n) for n, c in names.items()], tokens_of(F.col("text").cast("string")).alias("tokens"), F.xxhash64(F.col("text").cast("string")).alias("row"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).alias("order"))
     rows = common.stored(rows, "mix-rows")
     out = epochs_of(rows, mix)
     return out.select("doc_id", *LEVELS, F.col("tokens").alias("n_tokens"), "leaf_tokens", "budget", "epochs", "row")
@@ -138,12 +138,16 @@ def taken(docs: DataFrame, mix: Mix, domain: Column | None = None) -> DataFrame:
     alike = verdict.groupBy("_k").agg(F.min("epochs").alias("_least"), F.sum("epochs").alias("_all"), F.count(F.lit(1)).alias("_n"))
     alike = common.stored(alike, "mix-verdict")
     k = F.xxhash64(key["i"], key["d"], key["l"], key["s"], key["h"])
-    joined = docs.withColumn("_k", k).join(common.small(alike), "_k")
-    plain = joined.where("_n = 1 or _all = _least * _n").withColumn("_times", F.col("_least"))
-    mixed_ = joined.where("_n > 1 and _all <> _least * _n").withColumn("_i", F.row_number().over(Window.partitionBy("_k").orderBy("_least")))
-    mixed_ = mixed_.withColumn("_times", F.col("_least") + F.when(F.col("_i") <= F.col("_all") - F.col("_least") * F.col("_n"), 1).otherwise(0)).drop("_i")
-    both = plain.unionByName(mixed_).where("_times > 0")
-    both = both.withColumn("_copy", F.explode_outer(F.sequence(F.lit(1), F.col("_times").cast("int"))))
+    name, verdict_, times, i = common.free(docs, "_k", "_verdict", "_times", "_i")
+    alike = alike.select(F.col("_k").alias(name), F.struct(F.col("_least").alias("least"), F.col("_all").alias("all"), F.col("_n").alias("n")).alias(verdict_))
+    joined = docs.withColumn(name, k).join(common.small(alike), name)
+    v = F.col(verdict_)
+    uneven = (v["n"] > 1) & (v["all"] != v["least"] * v["n"])
+    plain = joined.where(~uneven).withColumn(times, v["least"])
+    mixed_ = joined.where(uneven).withColumn(i, F.row_number().over(Window.partitionBy(name).orderBy(verdict_)))
+    mixed_ = mixed_.withColumn(times, v["least"] + F.when(F.col(i) <= v["all"] - v["least"] * v["n"], 1).otherwise(0)).drop(i)
+    both = plain.unionByName(mixed_).where(F.col(times) > 0)
+    both = both.withColumn(i, F.explode_outer(F.sequence(F.lit(1), F.col(times).cast("int"))))
     return both.select(*docs.columns)
 
 
@@ -171,7 +175,7 @@ def oracle_sql(mix: Mix) -> str:
     return f"""
 WITH rows AS (SELECT doc_id, coalesce(translate(right(source, 1), '0123456789', 'aaaabbbccc'), '{NONE}') AS domain,
         coalesce(lang, '{NONE}') AS lang, coalesce(source, '{NONE}') AS source,
-        CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS tokens FROM documents),
+        CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS tokens, md5(coalesce(text, '')) AS digest FROM documents),
     leaves AS (SELECT domain, lang, source, CAST(sum(tokens) AS BIGINT) AS tokens FROM rows GROUP BY ALL),
     total AS (SELECT CAST(floor(sum(tokens) * CAST({mix.share} AS DOUBLE)) AS DOUBLE) AS given FROM leaves),
     {share("n1", f"SELECT domain, {capacity}, any_value(given) AS given FROM leaves, total GROUP BY domain", 0)},
@@ -182,7 +186,7 @@ WITH rows AS (SELECT doc_id, coalesce(translate(right(source, 1), '0123456789',
     plan2 AS (SELECT *, CASE WHEN leaf_tokens > 0 THEN budget // leaf_tokens ELSE 0 END AS f FROM plan),
     ordered AS (SELECT r.*, p.budget, p.leaf_tokens, p.f, p.budget - p.f * p.leaf_tokens AS rest,
         sum(r.tokens) OVER (PARTITION BY r.domain, r.lang, r.source
-            ORDER BY md5('{mix.seed}:' || (p.f + 1) || ':' || coalesce(CAST(r.doc_id AS VARCHAR), '')), r.tokens ROWS UNBOUNDED PRECEDING) AS upto
+            ORDER BY md5('{mix.seed}:' || (p.f + 1) || ':' || coalesce(CAST(r.doc_id AS VARCHAR), '') || ':' || r.digest), r.tokens ROWS UNBOUNDED PRECEDING) AS upto
         FROM rows r JOIN plan2 p ON r.domain = p.domain AND r.lang = p.lang AND r.source = p.source)
 SELECT doc_id, domain, lang, source, tokens AS n_tokens, leaf_tokens, budget,
     CAST(f + CASE WHEN upto <= rest AND (rest > 0 OR leaf_tokens = 0) THEN 1 ELSE 0 END AS BIGINT) AS epochs FROM ordered"""

@@ -193,5 +193,6 @@ def passing(docs: DataFrame) -> DataFrame:
     with_key = docs.select("doc_id", "text", "lang", "source").withColumn("lang", F.col("lang").cast("string"))
     stats = statistics(with_key.withColumn("doc_id", h))
     rows = common.stored(_with_stats(stats), "quality-rows")
-    gone = common.stored(_judged(rows).where("not kept").select(F.col("doc_id").alias("_h")).distinct(), "quality-gone")
-    return docs.withColumn("_h", h).join(common.small(gone), "_h", "left_anti").select(*docs.columns)
+    (name,) = common.free(docs, "_h")
+    gone = common.stored(_judged(rows).where("not kept").select(F.col("doc_id").alias(name)).distinct(), "quality-gone")
+    return docs.withColumn(name, h).join(common.small(gone), name, "left_anti").select(*docs.columns)

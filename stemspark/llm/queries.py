@@ -15,8 +15,8 @@ MIX = mixing.Mix(
     epochs=3,
     weights={"domain": {"a": 3.0, "b": 2.0}, "lang": {"en": 4.0, "de": 2.0, "fr": 2.0}, "source": {"src0": 2.0}},
 )
-#: The damage of the audited replica: a page's record is altered, or lost, by its number.
-ALTERED, LOST = (997, 5), (1009, 7)
+#: The damage of the audited replica by a page's number: its record is altered, or lost, or has a second one beside it.
+ALTERED, LOST, ADDED = (97, 5), (101, 7), (103, 11)
 
 
 def op1_sorted_string_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,16 +45,17 @@ def op6_diagonal_voting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def damaged(pages: DataFrame) -> DataFrame:
-    """The replica's pages: bytes of some altered, some others lost."""
+    """The replica's pages: bytes of some altered, some others lost, some records that the primary lacks."""
     hit = lambda rule: F.coalesce(F.pmod("page_id", F.lit(rule[0])) == rule[1], F.lit(False))
-    return pages.where(~hit(LOST)).withColumn("html", F.when(hit(ALTERED), F.concat(F.lit("x"), F.coalesce("html", F.lit("")))).otherwise(F.col("html")))
+    added = pages.where(hit(ADDED)).withColumn("page_id", -F.col("page_id") - 1)
+    return pages.where(~hit(LOST)).withColumn("html", F.when(hit(ALTERED), F.concat(F.lit("x"), F.coalesce("html", F.lit("")))).otherwise(F.col("html"))).unionByName(added)
 
 
 def op7_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     archive = fixity.archived(pages)
     found = fixity.audit(archive, fixity.replica(damaged(pages), archive))
-    return found.join(archive, fixity.KEY).select("page_id", "file_no", "offset", "seq", "length", "copies", "status")
+    return found.join(archive, fixity.KEY, "left").select("page_id", "file_no", "offset", "seq", "length", "copies", "status")
 
 
 def op8_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,17 +75,37 @@ QUERIES = {f.__name__: f for f in (op1_sorted_string_shards, op2_paragraph_minha
 
 _RECORD = """'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
     || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10)"""
+_DIGEST = "sha256(coalesce(CAST(page_id AS VARCHAR), '') || chr(10) || rec)"
 
-ORACLES = {
-    "op4_hierarchical_budget": mixing.oracle_sql(MIX),
-    "op7_merkle_audit": f"""
+
+def _levels_sql(side: str) -> str:
+    """Ranges and files of one replica's tree, from its records; the levels above only group files."""
+    text = "string_agg(concat_ws(':', {}), ',' ORDER BY {})".format
+    return f"""{side}_range AS (SELECT file_no, "offset" // {fixity.RANGE} AS r, sha256({text('file_no, "offset", seq, digest', 'file_no, "offset", seq')}) AS digest FROM {side} GROUP BY ALL),
+    {side}_file AS (SELECT file_no, sha256({text('file_no, r, 0, digest', 'r')}) AS digest FROM {side}_range GROUP BY ALL)"""
+
+
+_DIFFER = "SELECT {0} FROM one_{1} FULL JOIN two_{1} USING ({0}) WHERE one_{1}.digest IS DISTINCT FROM two_{1}.digest".format
+_AUDIT = f"""
 WITH r AS (SELECT page_id, {_RECORD} AS rec FROM pages),
-    d AS (SELECT page_id, sha256(coalesce(CAST(page_id AS VARCHAR), '') || chr(10) || rec) AS digest, CAST(strlen(rec) AS BIGINT) AS length FROM r),
+    d AS (SELECT page_id, {_DIGEST} AS digest, CAST(strlen(rec) AS BIGINT) AS length FROM r),
     n AS (SELECT greatest(0, CAST(ceil(log2(greatest(count(*), 1) / {fixity.FILE_RECORDS}.0) / 4) AS INT)) AS digits FROM pages),
     c AS (SELECT digest, page_id, length, count(*) AS copies FROM d GROUP BY ALL),
     f AS (SELECT c.*, CASE WHEN digits = 0 THEN 0 ELSE CAST('0x' || substring(digest, 1, digits) AS BIGINT) END AS file_no FROM c, n),
-    p AS (SELECT *, row_number() OVER w AS seq, CAST(coalesce(sum(length) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset"
-        FROM f WINDOW w AS (PARTITION BY file_no ORDER BY digest, page_id))
-SELECT page_id, file_no, "offset", seq, length, copies, CASE WHEN page_id % {LOST[0]} = {LOST[1]} THEN 'missing' ELSE 'changed' END AS status
-FROM p WHERE page_id % {ALTERED[0]} = {ALTERED[1]} OR page_id % {LOST[0]} = {LOST[1]}""",
-}
+    one AS MATERIALIZED (SELECT *, row_number() OVER w AS seq, CAST(coalesce(sum(length) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset"
+        FROM f WINDOW w AS (PARTITION BY file_no ORDER BY digest, page_id)),
+    harmed AS (SELECT page_id, url, CASE WHEN page_id % {ALTERED[0]} = {ALTERED[1]} THEN 'x' || coalesce(html, '') ELSE html END AS html FROM pages WHERE coalesce(page_id % {LOST[0]} <> {LOST[1]}, true)
+        UNION ALL SELECT -page_id - 1, url, html FROM pages WHERE page_id % {ADDED[0]} = {ADDED[1]}),
+    hr AS (SELECT page_id, {_RECORD} AS rec FROM harmed), h AS (SELECT DISTINCT page_id, {_DIGEST} AS digest FROM hr),
+    ends AS (SELECT file_no, max("offset" + length) AS e, max(seq) AS s FROM one GROUP BY 1),
+    new AS (SELECT h.digest, CASE WHEN digits = 0 THEN 0 ELSE CAST('0x' || substring(h.digest, 1, digits) AS BIGINT) END AS file_no FROM h, n WHERE page_id < 0),
+    two AS MATERIALIZED (SELECT file_no, "offset", seq, h.digest FROM one JOIN h USING (page_id)
+        UNION ALL SELECT file_no, coalesce(e, 0), coalesce(s, 0) + row_number() OVER (PARTITION BY file_no ORDER BY digest), digest FROM new LEFT JOIN ends USING (file_no)),
+    {_levels_sql("one")}, {_levels_sql("two")},
+    files AS ({_DIFFER('file_no', 'file')}), ranges AS ({_DIFFER('file_no, r', 'range')}),
+    a AS (SELECT * FROM one WHERE file_no IN (FROM files) AND (file_no, "offset" // {fixity.RANGE}) IN (FROM ranges)),
+    b AS (SELECT * FROM two WHERE file_no IN (FROM files) AND (file_no, "offset" // {fixity.RANGE}) IN (FROM ranges))
+SELECT page_id, file_no, "offset", seq, length, copies, CASE WHEN b.digest IS NULL THEN 'missing' WHEN a.digest IS NULL THEN 'extra' ELSE 'changed' END AS status
+FROM a FULL JOIN b USING (file_no, "offset", seq) WHERE a.digest IS DISTINCT FROM b.digest"""
+
+ORACLES = {"op4_hierarchical_budget": mixing.oracle_sql(MIX), "op7_merkle_audit": _AUDIT}

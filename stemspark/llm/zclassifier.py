@@ -9,13 +9,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 #: Labelled rows per class that a fit takes at most (those with the smallest hash of doc_id): the bound of the sample.
 SAMPLE_PER_CLASS = 2000
+#: Bytes of the sample's texts at most: rows are taken, whole, in the order of that hash until the next one doesn't fit.
+SAMPLE_BYTES = 64 << 20
 DICTIONARY_BYTES = 64 << 10
 #: Texts are compressed in pieces of this size, so that the dictionary counts all through a long text.
 PIECE_BYTES = 1024
@@ -84,7 +86,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Model:
-    """Fits on at most per_class rows of each label, whole texts, never on held-out rows.
+    """Fits on at most per_class rows of each label (and SAMPLE_BYTES), whole texts, never on held-out rows.
 
     The class sizes that calibrate the prior are counted over all labelled rows that may be learnt from. Rows without a
     label, a doc_id or a text aren't learnt from; a doc_id labelled twice counts with its smallest label. A third of the
@@ -99,7 +101,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
     chosen = [marks.where(F.col("y") == y).orderBy(order, "doc_id").limit(per_class) for y in (0, 1)]
     sample = F.broadcast(chosen[0].union(chosen[1]))  # at most 2 * per_class rows of two numbers
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null and text <> ''")
-    rows = texts.join(sample, "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).orderBy(order, "doc_id").collect()
+    found = common.stored(texts.join(sample, "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")), "classifier-sample")
+    upto = F.sum(F.octet_length("text").cast("long")).over(Window.partitionBy("y").orderBy(order, "doc_id"))
+    fitting = found.select("doc_id", upto.alias("upto")).where(F.col("upto") <= SAMPLE_BYTES // 2).select("doc_id")  # 2 * per_class sizes at most
+    rows = found.join(F.broadcast(fitting), "doc_id").orderBy(order, "doc_id").collect()
     by = [[r["text"] for r in rows if r["y"] == y] for y in (0, 1)]
     if not by[0] or not by[1]:
         return Model((b"", b""), (float(np.log(prior / (1 - prior))), 0.0, 0.0), prior)
