@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by multi-index hashing over learned binary codes.
 
-A rotation learned on a bounded sample (principal axes, then iterative quantisation) turns vectors into codes of 64 bits. Codes
-are cut into substrings, each with an inverted index: index rows are dealt out by (substring, value), and queries are sent to
+A rotation learned on a bounded sample (principal axes, then iterative quantisation; more bits than dimensions come from more
+rotations) turns vectors into codes of BITS bits. Codes are cut into substrings, each with an inverted index: index rows are dealt out by (substring, value), and queries are sent to
 the values that they probe. By the pigeonhole principle a code within Hamming distance r of a query agrees with it up to
 floor(r / m) in some of the m substrings (and up to one less in all but r mod m + 1 of them), so probing those values finds
 every code within r; those are ranked by their exact distance.
@@ -21,9 +21,9 @@ from . import common
 
 #: Vectors that the rotation and the radius are learned from at most (smallest hashes of vec_id).
 SAMPLE = 8192
-BITS = 64
-#: Bits of a substring, and from how many distinct vectors on it is the longer: buckets then hold 1 / 65536 of them, not 1 / 256.
-SUBSTRING_BITS, LONG_SUBSTRING_BITS, LONG_FROM = 8, 16, 4_000_000
+#: A code is WORDS numbers of WORD_BITS bits each; the bits of a substring divide these.
+WORDS, WORD_BITS, SUBSTRING_BITS = 4, 60, 12
+BITS = WORDS * WORD_BITS
 #: Rows of a bucket that one task meets its queries with; a bucket with more is dealt to several, each with all its queries.
 BUCKET_ROWS = 4096
 #: Share of the sample's true neighbours that the first radius reaches; those of all rows are nearer.
@@ -31,7 +31,7 @@ REACH = 0.97
 
 
 def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b)
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)  # codes are not negative
 
 
 @dataclass
@@ -41,70 +41,74 @@ class Codes:
     radius: int
 
     def encode(self, x: np.ndarray) -> np.ndarray:
-        return np.packbits((x - self.mean) @ self.rotation > 0, axis=1).view(">i8").ravel().astype(np.int64)
+        """int64[rows, WORDS]"""
+        bits = ((x - self.mean) @ self.rotation > 0).reshape(len(x), WORDS, WORD_BITS)
+        return bits.astype(np.int64) @ (np.int64(1) << np.arange(WORD_BITS - 1, -1, -1, dtype=np.int64))
 
 
-def learn(sample: np.ndarray, k: int, iterations: int = 40, seed: int = 7) -> Codes:
-    """Principal axes of the sample, then the rotation that brings it closest to the corners of the cube. The radius is the
-    Hamming distance that REACH of the sample's k nearest neighbours lie within."""
-    n, d = sample.shape
+def learn(sample: np.ndarray, k: int, n: int | None = None, iterations: int = 40, seed: int = 7) -> Codes:
+    """Principal axes of the sample, then the rotation that brings it closest to the corners of the cube, from several starts until
+    there are enough bits. The radius is the Hamming distance that REACH of the sample's nearest neighbours lie within: as
+    many of them as the sample's share of the k nearest of all n rows."""
+    rows, d = sample.shape
     mean = sample.mean(axis=0)
     x = sample - mean
     axes = np.linalg.eigh(x.T @ x + 1e-12 * np.eye(d))[1][:, ::-1]
     rng = np.random.default_rng(seed)
-    if d < BITS:
-        axes = axes @ rng.standard_normal((d, BITS))
-    axes = axes[:, :BITS]
-    v = x @ axes
-    turn = np.linalg.qr(rng.standard_normal((BITS, BITS)))[0]
-    for _ in range(iterations):
-        u, _, t = np.linalg.svd(np.where(v @ turn > 0, 1.0, -1.0).T @ v)
-        turn = (u @ t).T
-    codes = Codes(mean, axes @ turn, BITS)
-    if n > 1:
+    turned: list[np.ndarray] = []
+    while sum(t.shape[1] for t in turned) < BITS:
+        own = axes[:, :BITS]
+        v, size = x @ own, own.shape[1]
+        turn = np.linalg.qr(rng.standard_normal((size, size)))[0]
+        for _ in range(iterations):
+            u, _, t = np.linalg.svd(np.where(v @ turn > 0, 1.0, -1.0).T @ v)
+            turn = (u @ t).T
+        turned.append(own @ turn)
+    codes = Codes(mean, np.concatenate(turned, axis=1)[:, :BITS], BITS)
+    if rows > 1:
         packed = codes.encode(sample)
+        near_by = min(rows - 1, max(1, -(-k * rows // max(n or rows, rows))))
         reach = []
-        for i in range(0, n, max(1, n // 256)):
+        for i in range(0, rows, max(1, rows // 512)):
             apart = ((sample - sample[i]) ** 2).sum(axis=1)
             apart[i] = np.inf
-            near = np.argsort(apart, kind="stable")[: min(k, n - 1)]
+            near = np.argsort(apart, kind="stable")[:near_by]
             reach += _apart(packed[near], packed[i]).tolist()
         codes.radius = int(np.quantile(reach, REACH, method="higher"))
     return codes
 
 
-@dataclass(frozen=True)
-class Cut:
-    """How codes are cut into substrings."""
+SUBSTRINGS = BITS // SUBSTRING_BITS
+CODE = [f"c{i}" for i in range(WORDS)]
 
-    bits: int
 
-    @property
-    def count(self) -> int:
-        return BITS // self.bits
+def limits_of(radius: int) -> list[int]:
+    """How far off each substring is probed; -1: not at all."""
+    each, more = divmod(radius, SUBSTRINGS)
+    return [each if s <= more else each - 1 for s in range(SUBSTRINGS)]
 
-    def limits(self, radius: int) -> list[int]:
-        """How far off each substring is probed; -1: not at all."""
-        each, more = divmod(radius, self.count)
-        return [each if s <= more else each - 1 for s in range(self.count)]
 
-    def part(self, code: Column, s: int) -> Column:
-        return F.shiftrightunsigned(code, BITS - self.bits * (s + 1)).bitwiseAND(F.lit((1 << self.bits) - 1))
+def _part(words: list[Column], s: int) -> Column:
+    per = WORD_BITS // SUBSTRING_BITS
+    return F.shiftrightunsigned(words[s // per], WORD_BITS - SUBSTRING_BITS * (s % per + 1)).bitwiseAND(F.lit((1 << SUBSTRING_BITS) - 1))
 
-    def parts(self, code: Column) -> Column:
-        return F.explode(F.array(*[F.struct(F.lit(s).alias("s"), self.part(code, s).alias("value")) for s in range(self.count)]))
 
-    def masks(self, limits: list[int]) -> list[tuple[int, int]]:
-        """What a query's substring is changed by to give the values that it probes."""
-        weight = np.bitwise_count(np.arange(1 << self.bits))
-        return [(s, int(mask)) for s, most in enumerate(limits) for mask in np.flatnonzero(weight <= most)]
+def _parts(words: list[Column]) -> Column:
+    return F.explode(F.array(*[F.struct(F.lit(s).alias("s"), _part(words, s).alias("value")) for s in range(SUBSTRINGS)]))
 
-    def first(self, x: Column, s: Column, limits: list[int]) -> Column:
-        """Whether s is the first of the substrings that find a code which is x off: each pair counts once."""
-        out = F.lit(True)
-        for i, most in enumerate(limits):
-            out = out & ((s <= i) | (F.bit_count(self.part(x, i)) > most))
-        return out
+
+def _masks(limits: list[int]) -> list[tuple[int, int]]:
+    """What a query's substring is changed by to give the values that it probes."""
+    weight = np.bitwise_count(np.arange(1 << SUBSTRING_BITS))
+    return [(s, int(mask)) for s, most in enumerate(limits) for mask in np.flatnonzero(weight <= most)]
+
+
+def _first(x: list[Column], s: Column, limits: list[int]) -> Column:
+    """Whether s is the first of the substrings that find a code which is x off: each pair counts once."""
+    out = F.lit(True)
+    for i, most in enumerate(limits[:-1]):
+        out = out & ((s <= i) | (F.bit_count(_part(x, i)) > most))
+    return out
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -118,7 +122,7 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def _encoded(rows: DataFrame, codes: Codes, narrow: bool) -> DataFrame:
-    """rows with vec (the embedding's bytes) and code in place of embedding. narrow: the components are single precision numbers."""
+    """rows with vec (the embedding's bytes) and its code in place of embedding. narrow: the components are single precision numbers."""
     kind = np.float32 if narrow else np.float64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,10 +130,10 @@ def _encoded(rows: DataFrame, codes: Codes, narrow: bool) -> DataFrame:
             if batch.num_rows:
                 x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
                 columns = {n: batch.column(n) for n in batch.schema.names if n != "embedding"}
-                yield pa.RecordBatch.from_pydict(columns | {"vec": pa.array([v.tobytes() for v in x.astype(kind)], pa.binary()), "code": pa.array(codes.encode(x))})
+                yield pa.RecordBatch.from_pydict(columns | {"vec": pa.array([v.tobytes() for v in x.astype(kind)], pa.binary())} | dict(zip(CODE, map(pa.array, codes.encode(x).T.copy()), strict=True)))
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "embedding")
-    return rows.mapInArrow(run, f"{kinds}, vec binary, code long")
+    return rows.mapInArrow(run, f"{kinds}, vec binary, " + ", ".join(f"{c} long" for c in CODE))
 
 
 def _distances(narrow: bool):
@@ -173,7 +177,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, sample: int = SA
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     learned = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toPandas()["embedding"]
-    codes = learn(np.array(learned.tolist(), float), k)
+    codes = learn(np.array(learned.tolist(), float), k, n)
 
     hashes = [F.xxhash64("embedding").alias("h"), F.xxhash64(F.lit(1), "embedding").alias("g")]
     least = Window.partitionBy("h", "g").orderBy("vec_id")
@@ -185,21 +189,23 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, sample: int = SA
     asked = asked.where(F.size("embedding") == learned.map(len).iloc[0])
     asked = common.stored(_encoded(asked.select("query_id", *[c.alias(f"q{n}") for c, n in zip(hashes, "hg", strict=True)], "embedding"), codes, narrow), "ann-queries")
 
-    cut = Cut(LONG_SUBSTRING_BITS if index.count() > LONG_FROM else SUBSTRING_BITS)
-    entries = index.select("h", "g", "code", cut.parts(F.col("code")).alias("p")).select("h", "g", "code", "p.s", "p.value")
-    # At most cut.count * 2 ** cut.bits rows, whatever the input.
+    words = [F.col(c) for c in CODE]
+    entries = index.select("h", "g", *CODE, _parts(words).alias("p")).select("h", "g", *CODE, "p.s", "p.value")
+    # At most SUBSTRINGS * 2 ** SUBSTRING_BITS rows, whatever the input.
     sizes = common.stored(entries.groupBy("s", "value").agg(F.ceil(F.count(F.lit(1)) / BUCKET_ROWS).cast("int").alias("deals")), "ann-sizes")
     dealt = entries.join(F.broadcast(sizes), ["s", "value"]).withColumn("deal", F.pmod(F.xxhash64("h"), F.col("deals")).cast("int")).drop("deals")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     radius, left, out = min(codes.radius, BITS), asked, None
     while True:
-        limits = cut.limits(radius)
-        masks = F.broadcast(spark.createDataFrame(cut.masks(limits), "s int, mask long"))  # at most as many as `sizes` has
-        probes = left.select("query_id", F.col("code").alias("qcode"), cut.parts(F.col("code")).alias("p")).select("query_id", "qcode", "p.s", F.col("p.value").alias("v"))
-        probes = probes.join(masks, "s").select("query_id", "qcode", "s", F.col("v").bitwiseXOR(F.col("mask")).alias("value")).join(F.broadcast(sizes), ["s", "value"])
+        limits = limits_of(radius)
+        masks = F.broadcast(spark.createDataFrame(_masks(limits), "s int, mask long"))  # at most as many as `sizes` has
+        asks = [f"q{c}" for c in CODE]
+        probes = left.select("query_id", *[w.alias(q) for w, q in zip(words, asks, strict=True)], _parts(words).alias("p")).select("query_id", *asks, "p.s", F.col("p.value").alias("v"))
+        probes = probes.join(masks, "s").select("query_id", *asks, "s", F.col("v").bitwiseXOR(F.col("mask")).alias("value")).join(F.broadcast(sizes), ["s", "value"])
         probes = probes.withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).drop("deals")
-        x = F.col("code").bitwiseXOR(F.col("qcode"))
-        met = dealt.join(probes, ["s", "value", "deal"]).where((F.bit_count(x) <= radius) & cut.first(x, F.col("s"), limits))
+        x = [F.col(c).bitwiseXOR(F.col(q)) for c, q in zip(CODE, asks, strict=True)]
+        within = sum((F.bit_count(w) for w in x[1:]), F.bit_count(x[0])) <= radius
+        met = dealt.join(probes, ["s", "value", "deal"]).where(within & _first(x, F.col("s"), limits))
         pairs = common.stored(met.select("query_id", "h", "g"), "ann-pairs")
         wanted = left.select("query_id", "qh", "qg", F.col("vec").alias("asked"))
         full = pairs.join(index.select("h", "g", "ids", "vec"), ["h", "g"]).join(common.small(wanted, 20_000), "query_id")
@@ -215,5 +221,5 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, sample: int = SA
         left = common.stored(left.join(enough, "query_id", "left_anti"), "ann-left")
         if left.isEmpty():
             break
-        radius = min(BITS, radius + cut.count)
+        radius = min(BITS, radius + SUBSTRINGS)
     return out.select("query_id", "rank", "vec_id", "score")
