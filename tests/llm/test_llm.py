@@ -30,7 +30,6 @@ def test_tokens_round_trip(spark, docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     got = sstable.token_table(spark, docs.where("doc_id <> 6"), P.path("word_bpe_49k.json")).collect()
     start = 0
     rows = {r["doc_id"]: r for r in got}
@@ -41,6 +40,29 @@ def test_tokens_round_trip(spark, docs):
     assert sstable.token_table(spark, docs.limit(0), P.path("word_bpe_49k.json")).count() == 0
 
 
+def test_ids_are_the_librarys():
+    """Added tokens in texts, letters that compose only before they are folded, and random strings, against the plain call."""
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    t, own = Tokenizer.from_file(path), random.Random(11)
+    odd = ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "Y\u030a", "W\u030a", "H\u0331", "T\u0308", "J\u030c", "\u0130", "\x1c", "\x85", "\u3000", "Don't", "I'LL", "<|", "|>."]
+    texts = ["", *odd, "x" * 300_000 + " end."]
+    for _ in range(3000):
+        texts.append("".join(own.choice([own.choice(odd), chr(own.choice([own.randint(1, 126), own.randint(0xA0, 0x36F), own.randint(0x370, 0x2FFF)])), " "]) for _ in range(own.randint(1, 12))))
+    got, width = sstable.encode_texts([x.encode() for x in texts], path, 2)
+    for x, ids in zip(texts, got, strict=True):
+        assert np.frombuffer(ids, f"<u{width}").tolist() == [*t.encode(x, add_special_tokens=False).ids, 2]
+    assert max(map(len, sstable._tokenizer(path)[2])) <= sstable.PIECE_BYTES
+
+
+def test_shard_keys_null_and_repeated(spark):
+    rows = [(None, "a"), (5, "b c"), (5, "b c"), (5, "d"), (-3, None)]
+    got = sstable.token_table(spark, spark.createDataFrame(rows, "doc_id long, text string"), P.path("word_bpe_49k.json")).collect()
+    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["n_tokens"]) for r in got) == [(False, 0, 2), (True, -3, 1), (True, 5, 2), (True, 5, 3), (True, 5, 3)]
+    assert sorted(r["start"] for r in got)[0] == 0 and max(r["start"] + r["n_tokens"] for r in got) == sum(r["n_tokens"] for r in got)
+
+
 def test_shard_lookup():
     out = io.BytesIO()
     writer = sstable.Writer(out, 2, block_bytes=256)
@@ -90,13 +112,14 @@ def test_near_duplicates_unlike_their_hub(spark):
     word = lambda: f"w{own.randint(0, 10**6)}"
     template, rows = [word() for _ in range(200)], []
     for i in range(400):
-        tail = [word() for _ in range(18)]
+        tail = [word() for _ in range(40)]
         rows.append((i, " ".join(template + tail)))
         if i % 5 == 0:
             tail[5] = tail[12] = word()
             rows.append((1000 + i, " ".join(template + tail)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    idf = weighted_minhash.inverse(weighted_minhash.document_frequencies(docs), len(rows))
+    later = weighted_minhash.followers(docs)
+    idf = weighted_minhash.inverse(weighted_minhash.document_frequencies(docs.join(later, "doc_id", "left_anti")), len(rows) - later.count())
     sets = [weighted_minhash.weighted_set(t, idf) for _, t in rows]
     up = {d: d for d, _ in rows}
     for i in range(len(rows)):
@@ -107,6 +130,40 @@ def test_near_duplicates_unlike_their_hub(spark):
     assert {r["doc_id"]: r["class_id"] for r in weighted_minhash.classes(docs).collect()} == up and len(set(up.values())) == 400
 
 
+def test_frequent_shingles_weigh_less(spark):
+    """A line that unlike texts share weighs less than what each has for itself; a group of near copies counts once."""
+    line, base = text(12), text(80).split()
+    rows = [(i, f"{text(60)} {line}") for i in range(40)]
+    for i in range(100, 160):
+        copy = list(base)
+        copy[random.randrange(80)] = f"new{i}"
+        rows.append((i, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    later = {r["doc_id"] for r in weighted_minhash.followers(docs).collect()}
+    assert not later & set(range(40)) and len(later) >= 58
+    counted = docs.where(~docs["doc_id"].isin(*later))
+    idf = weighted_minhash.inverse(weighted_minhash.document_frequencies(counted), counted.count())
+    weight = lambda t: weighted_minhash.weighted_set(t, idf)[1]
+    assert weight(line).max() < 1 < 3 < weight(rows[0][1]).max() and weight(" ".join(base)).min() > 2.5
+    classes = {r["doc_id"]: r["class_id"] for r in weighted_minhash.classes(docs).collect()}
+    assert {classes[i] for i in range(100, 160)} == {100} and all(classes[i] == i for i in range(40))
+    assert weighted_minhash.classes(docs.limit(0)).count() == 0
+
+
+def test_passages_with_a_changed_word_and_short_texts(spark):
+    words = text(200).split()
+    near = list(words)
+    near[90] = "changed"
+    brief = text(20)
+    rows = [(1, f"{text(70)} {' '.join(words)}"), (2, f"{text(40)} {' '.join(near)} {text(9)}"), (3, brief), (4, brief), (5, text(45)), (6, None)]
+    docs = spark.createDataFrame([(a, b, "keep", 1) for a, b in rows], "doc_id long, text string, _id string, _h int")
+    found = passages.spans(docs).collect()
+    assert {(r["doc_id"], r["removed"]) for r in found} == {(1, False), (2, True), (3, False), (4, True)}
+    after = {r["doc_id"]: r for r in passages.cut(docs).collect()}
+    assert len(after[2]["text"].split()) < 130 and len(after[1]["text"].split()) == 270 and 4 not in after and 6 in after
+    assert {(r["_id"], r["_h"]) for r in after.values()} == {("keep", 1)}
+
+
 def test_quality_statistics(docs):
     rows = {r["doc_id"]: r for r in quality.statistics(docs.where("doc_id <> 6")).collect()}
     assert rows[3]["n_words"] == 100 and rows[4]["n_words"] == 0 and rows[3]["n_repeat_words"] == 0
@@ -122,6 +179,20 @@ def test_mixing_fills_siblings_first(spark):
     assert got == {("a", "s"): 10, ("a", "t"): 42, ("b", "s"): 52}
 
 
+def test_mixing_and_rules_with_null_repeated_ids_and_clashing_names(spark):
+    rows = [(None if i % 3 else 7, text(20 + i % 7), None if i % 5 == 0 else "en", f"s{i % 2}", i, i, i, i) for i in range(120)] + [(1, None, "en", "s1", 0, 0, 0, 0)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _h int, _k int, _n int, _copy int")
+    mix = mixing.Mix(share=0.5, epochs=1)
+    got = mixing.mixed(docs, mix)
+    assert got.count() == 122 and mixing.mixed(docs.limit(0), mix).count() == 0
+    spent, given = got.selectExpr("sum(n_tokens * epochs)", "sum(n_tokens)").first()
+    assert 0.5 * given - 4 * 30 <= spent <= 0.5 * given
+    taken = mixing.taken(docs, mix)
+    assert taken.columns == docs.columns and {tuple(r) for r in taken.collect()} <= set(rows) and taken.count() == got.selectExpr("sum(epochs)").first()[0]
+    passing = quality.passing(docs)
+    assert passing.columns == docs.columns and {tuple(r) for r in passing.collect()} <= set(rows) and passing.count() >= 115
+
+
 def test_licences(docs):
     rows = {r["doc_id"]: r for r in licences.scan(docs).collect() if r["doc_id"] in (3, 13, 14)}
     assert rows[13]["labels"] == "mit" and rows[13]["n_base"] == 0 and rows[13]["score"] == 1.0 and rows[3]["score"] == 0.0
@@ -163,6 +234,57 @@ def test_nearest_neighbours_of_few(spark):
     assert hits >= 27
 
 
+def test_nearest_neighbours_with_ties_and_repeats(spark):
+    rng = np.random.default_rng(4)
+    same, far = rng.standard_normal(8).tolist(), rng.standard_normal(8).tolist()
+    rows = [(i, same) for i in (0, 3, 5, 9, 11, 12)] + [(0, far), (20, far)] + [(i, rng.standard_normal(8).tolist()) for i in range(30, 40)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["rank"], r["vec_id"], r["score"]) for r in hamming_index.search(vectors, vectors.where("vec_id = 9"), k=4).collect()]
+    assert sorted(got) == [(1, 0, 0.0), (2, 3, 0.0), (3, 5, 0.0), (4, 11, 0.0)]
+    every = hamming_index.search(vectors, vectors.where("vec_id = 9"), k=30).collect()
+    assert len(every) == len(rows) - 1 and [r["vec_id"] for r in every].count(0) == 2
+    assert hamming_index.search(vectors.limit(0), vectors).count() == 0 and hamming_index.search(vectors, vectors.limit(0)).count() == 0
+
+
+def test_probes_find_every_code_within_the_radius():
+    rng = np.random.default_rng(6)
+    codes = hamming_index.Codes(np.zeros(16), rng.standard_normal((16, hamming_index.BITS)), 0)
+    packed = codes.encode(rng.standard_normal((400, 16)))
+    per, mask = hamming_index.WORD_BITS // hamming_index.SUBSTRING_BITS, (1 << hamming_index.SUBSTRING_BITS) - 1
+    part = lambda w, s: w[..., s // per] >> (hamming_index.WORD_BITS - hamming_index.SUBSTRING_BITS * (s % per + 1)) & mask
+    apart = hamming_index._apart(packed, packed[0])
+    for radius in (0, 19, 20, 47, 95):
+        limits = hamming_index.limits_of(radius)
+        hit = np.any([np.bitwise_count(part(packed, s) ^ part(packed[0], s)) <= most for s, most in enumerate(limits)], axis=0)
+        assert hit[apart <= radius].all()
+
+
+def test_pipeline(spark, tmp_path):
+    """On texts whose fate is known: what the rules reject, one of near copies, one copy of a passage; ids by the library."""
+    import hashlib
+
+    import tiktoken
+
+    import corpus_pipeline
+
+    passage, base = text(60), text(120).split()
+    near = list(base)
+    near[50] = "changed"
+    rows = [(i, text(90)) for i in range(100, 160)] + [(1, "too short"), (2, "one two three four five six seven eight nine " * 20), (3, " ".join(base)), (4, " ".join(near)), (5, " ".join(base)), (6, f"{text(70)} {passage}"), (7, f"{text(80)} {passage} {text(20)}"), (8, None)]
+    docs = spark.createDataFrame([(a, b, "en", "src1", 0 if b is None else len(b)) for a, b in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert not got.keys() & {1, 2, 4, 5, 8} and len(got) > 50
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    library, texts = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}), dict(rows)
+    for d in got.keys() - {7}:
+        ids = library.encode_ordinary(texts[d])
+        assert (got[d]["n_tokens"], got[d]["ids_sha256"], got[d]["decoded_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(texts[d].encode()).hexdigest())
+    if 7 in got:
+        assert got[7]["n_tokens"] < len(library.encode_ordinary(texts[7])) - 60
+
+
 def test_classifier_separates(spark):
     rows = [(i, (text(60) if i % 2 else "SPAM!! WIN!! " * 40)) for i in range(200)] + [(900, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
