@@ -2,9 +2,11 @@ import numpy as np
 import pytest
 
 from stemspark.functions import geometry
-from stemspark.operators import ground, location, sections
-from stemspark.params import FEW_SECTORS, INNER_POINTS, NOT_ENOUGH_POINTS, SUCCESS, TOO_LARGE, TOO_SMALL, Ground, Stem
+from stemspark.operators import ground, location, sections, tiles
+from stemspark.params import FEW_SECTORS, INNER_POINTS, NOT_ENOUGH_POINTS, RUN_INVALID, RUN_NO_CLUSTERS, SUCCESS, TOO_LARGE, TOO_SMALL, Ground, Params, Stem
+from stemspark.plans import run
 from stemspark.sources import points
+from stemspark.storage import numbered
 
 
 def ring(n=200, r=0.2, cx=3.0, cy=-1.0, part=1.0):
@@ -71,6 +73,45 @@ def test_diameter_decisions(spark):
     assert (got[1]["loc_x"], got[1]["loc_z"]) == pytest.approx((1.0, 1.8)) and (got[7]["loc_x"], got[7]["loc_z"]) == pytest.approx((7.0, 1.8))
 
 
+def test_pair_with_more_good_sections_is_chosen(spark):
+    """Pairs (3, 4) and (6, 7) are equally far from breast height: good sections count, not their sectors."""
+    rows = [(1, s, 0.3 + s * 0.25, 0.0, 0.0, r, status, share) for s, r, status, share in ((3, 0.2, 0, 0.1), (4, 0.2, 0, 0.1), (6, 0.3, 2, 1.0), (7, 0.3, 2, 1.0), (5, 0.5, -1, 0.0))]
+    rows = [(*r[:2], abs(r[1] - 5) * (0.25 if r[1] > 5 else -0.25) + 1.3, *r[3:]) for r in rows]
+    found = spark.createDataFrame(rows, "stem_id long, section_id int, z0 double, cx double, cy double, radius double, status int, sector_percentage double")
+    trees = spark.createDataFrame([(1, 0.0, 0.0, 2.0, 0.0, 0.0, 1.0, 0.0, 0.5)], "stem_id long, cx double, cy double, cz double, ux double, uy double, uz double, deviation_deg double, height_difference double")
+    assert location.located(found, trees, Stem()).first()["dbh"] == pytest.approx(0.4)
+
+
+def test_given_heights_and_invalid_input(spark):
+    cloud = spark.createDataFrame([(i, float(i), 0.5, 3.0, z0) for i, z0 in enumerate((0.1, 0.2, 1.0, 2.0, 3.0, 4.0))], "point_id long, x double, y double, z double, z0 double")
+    size = run.plot_size(cloud, True).first()
+    assert (size["num_points"], size["area_m2"]) == (6, 2)
+    assert run.run_inventory(cloud.drop("x")).status == RUN_INVALID and run.run_inventory(cloud.limit(0)).status == RUN_INVALID
+    # Without the column heights are worked out, and there are no stems.
+    out = run.run_inventory(cloud.drop("z0"), Params(normalise_heights=False))
+    assert out.status == RUN_NO_CLUSTERS and out.terrain is not None and "heights" in out.seconds
+
+
+def test_tiles_join_clusters_and_fill_slopes(spark):
+    """A line of cells over many tiles is one cluster; a cell two steps off is another's; cloths follow a step slope."""
+    n = 3 * tiles.SIDE
+    cells = [(i, i, 5, 5) for i in range(n)] + [(n + 1 + i, i, 9, 5) for i in range(n)]
+    found = spark.createDataFrame(cells, "voxel_key long, ix long, iy long, iz long")
+    labels = {r["voxel_key"]: r["label"] for r in tiles.clusters(found, 0.1, 0.1, 0.1 * 3**0.5 + 1e-6, 2).collect()}
+    assert {labels[i] for i in range(n)} == {0} and {labels[n + 1 + i] for i in range(n)} == {n + 1}
+    floor = np.repeat(np.linspace(0, 5, 40)[None], 40, 0)
+    free = np.ones((40, 40), bool)
+    free[:, :5] = False
+    cloth = np.where(free, floor + 0.2, floor)
+    assert np.allclose(ground.sloped(cloth, floor, free), floor) and np.allclose(ground.sloped(cloth[:6, 4:10], floor[:6, 4:10], free[:6, 4:10]), cloth[:6, 4:10])
+
+
+def test_ranks_over_ranges(spark):
+    rows = spark.range(1000).selectExpr("(id * 7919) % 100003 AS k")
+    got = [r["n"] for r in numbered(rows, "k", "n").orderBy("k").collect()]
+    assert got == list(range(1, 1001))
+
+
 def test_terrain_of_a_plane(spark):
     xy = [(i * 0.3, j * 0.3) for i in range(40) for j in range(40)]
     cloud = spark.createDataFrame([(k, x, y, 0.02 * x) for k, (x, y) in enumerate(xy)], "point_id long, x double, y double, z double")
