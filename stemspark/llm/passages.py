@@ -207,36 +207,42 @@ def repeated(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     rows of a repeated doc_id the smallest text counts; other columns are ignored; no repeats or an empty table give no rows.
     """
     texts, _ = _texts(docs)
-    return _repeated(texts, _scanned(texts), similar)
+    return _repeated(texts, _scanned(texts), similar, [])
 
 
-def _repeated(texts: DataFrame, found: DataFrame, similar: float) -> DataFrame:
+def _repeated(texts: DataFrame, found: DataFrame, similar: float, made: list[DataFrame]) -> DataFrame:
+    """made: gets the tables that can go once the result is stored."""
     found = found.where("at >= 0")
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        made.append(common.stored(df, name))
+        return made[-1]
+
     coarse = found.select("doc_id", "at", "whole", F.explode_outer(F.array(*_COARSE_KEYS)).alias("key"))
     # Pre-aggregated before the shuffle and stored; then the rows of common keys, whose skew the join can split.
     spread = coarse.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key")
-    spread = common.small(common.stored(spread, "passages-spread"))
-    places = common.stored(coarse.join(spread, "key").select("doc_id", "at", "whole").distinct(), "passages-places")
+    spread = common.small(kept(spread, "passages-spread"))
+    places = kept(coarse.join(spread, "key").select("doc_id", "at", "whole").distinct(), "passages-places")
     first = F.min(F.struct("doc_id", "at")).alias("first")
-    kinds = common.stored(places.groupBy("whole").agg(first, F.max("doc_id").alias("hi")).select("whole", "first.doc_id", "first.at", F.col("first.doc_id").alias("lo"), "hi"), "passages-kinds")
+    kinds = kept(places.groupBy("whole").agg(first, F.max("doc_id").alias("hi")).select("whole", "first.doc_id", "first.at", F.col("first.doc_id").alias("lo"), "hi"), "passages-kinds")
 
     bands = tuned_bands(similar)
     # The paragraphs to read of a text, bounded by it.
-    asked = common.stored(kinds.groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_list(F.struct("at", "whole"))).alias("p")).select("_id", "p.at", "p.whole").toDF("_id", "places", "wholes"), "passages-asked")
+    asked = kept(kinds.groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_list(F.struct("at", "whole"))).alias("p")).select("_id", "p.at", "p.whole").toDF("_id", "places", "wholes"), "passages-asked")
     contents = _of(texts, asked).mapInArrow(_contents(bands), "whole long, grams array<long>, keys array<long>")
-    contents = common.stored(contents, "passages-contents")
+    contents = kept(contents, "passages-contents")
     grams = contents.select("whole", "grams")
 
     def verified(pairs: DataFrame) -> DataFrame:
         both = pairs.join(grams.select(F.col("whole").alias("a"), F.col("grams").alias("ga")), "a").join(grams.select(F.col("whole").alias("b"), F.col("grams").alias("gb")), "b")
         shared = F.size(F.array_intersect("ga", "gb"))
         near = shared >= similar * (F.size(F.array_distinct("ga")) + F.size(F.array_distinct("gb")) - shared)
-        return common.stored(both.select("a", "b", near.alias("near")), "passages-links")
+        return kept(both.select("a", "b", near.alias("near")), "passages-links")
 
     def members(keys: DataFrame) -> DataFrame:
         spread = keys.groupBy("key").agg(F.min("whole").alias("lo"), F.max("whole").alias("hi")).where("lo < hi").select("key", F.col("lo").alias("b"))
-        spread = common.small(common.stored(spread, "passages-hubs"))
-        return common.stored(keys.join(spread, "key"), "passages-buckets")
+        spread = common.small(kept(spread, "passages-hubs"))
+        return kept(keys.join(spread, "key"), "passages-buckets")
 
     def hubs(rows: DataFrame) -> DataFrame:
         return rows.where("whole <> b").select(F.col("whole").alias("a"), "b").distinct()
@@ -246,7 +252,7 @@ def _repeated(texts: DataFrame, found: DataFrame, similar: float) -> DataFrame:
     labels = components(links.where("near"))
     placed = coarse_members.join(labels.select(F.col("node").alias("whole"), "component"), "whole", "left").withColumn("component", F.coalesce("component", "whole"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    left = common.stored(placed.join(mixed, "key").select("whole").distinct(), "passages-mixed")
+    left = kept(placed.join(mixed, "key").select("whole").distinct(), "passages-mixed")
     if not left.isEmpty():
         pairs = hubs(members(contents.join(common.small(left), "whole", "left_semi").select("whole", "grams").mapInArrow(_finer, "whole long, key long")))
         tried = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -328,7 +334,9 @@ def spans(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     are rows of their own; a document's runs are bounded by its text. Odd input: as repeated() has it."""
     texts, _ = _texts(docs)
     scanned = _scanned(texts)
-    found = common.stored(_repeated(texts, scanned, similar), "passages-classes")
+    made: list[DataFrame] = []
+    found = common.stored(_repeated(texts, scanned, similar, made), "passages-classes")
+    common.forget(*made)
     brief = scanned.where("at < 0").select("doc_id", (-F.col("at")).cast("long").alias("n_words"), "whole")
     brief = common.stored(brief, "passages-brief")
     common.forget(scanned)

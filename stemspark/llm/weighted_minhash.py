@@ -335,13 +335,15 @@ def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     n = hashed.count() - later.count()
     idf = spark.sparkContext.broadcast(inverse(document_frequencies(texts.join(common.small(later), "doc_id", "left_anti")), n))  # DEPTH * WIDTH floats, whatever the input
     members = texts.mapInArrow(_band_rows(idf), "doc_id long, bucket long").join(reps, "doc_id", "left_semi")
-    members = common.stored(members, "near-members")
-    members = _ranked(members)
+    every = common.stored(members, "near-members")
+    members = _ranked(every)
+    common.forget(every)
     # Texts of the documents that share a bucket with another one.
     shared = common.small(members.select("doc_id").distinct())
     texts = common.stored(texts.join(shared, "doc_id", "left_semi"), "near-texts")
 
     links = common.stored(_verified(_hubs(members), texts, idf, least), "near-links")
+    tried_links = [links]
     labels = components(links.where("near"))
 
     def placed_by(labels: DataFrame) -> DataFrame:
@@ -357,10 +359,13 @@ def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     if not left.isEmpty():
         fine = texts.join(common.small(left), "doc_id", "left_semi").mapInArrow(_band_rows(idf, FINE_BANDS, FINE_ROWS), "doc_id long, bucket long")
         pairs = _hubs(_ranked(common.stored(fine, "near-fine")))
-        links = links.unionByName(common.stored(_verified(untried(pairs), texts, idf, least), "near-links"))
+        tried_links.append(common.stored(_verified(untried(pairs), texts, idf, least), "near-links"))
+        links = links.unionByName(tried_links[-1])
         pairs = common.stored(untried(_rest(placed_by(components(links.where("near"))), texts, idf, least)), "near-pairs")
-        links = links.unionByName(common.stored(_verified(pairs, texts, idf, least), "near-links"))
+        tried_links.append(common.stored(_verified(pairs, texts, idf, least), "near-links"))
+        links = links.unionByName(tried_links[-1])
         labels = components(links.where("near"))
+    common.forget(hashed, firsts, later, members, texts, *tried_links)
     labels = labels.select(F.col("node").alias("exact_id"), "component")
     out = exact.join(labels, "exact_id", "left").select("doc_id", "exact_id", F.coalesce("component", "exact_id").alias("class_id"))
     if one:
