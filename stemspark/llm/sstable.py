@@ -212,12 +212,14 @@ class Reader:
 
 # Encoding. The vocabulary's normaliser and pre-tokeniser never look across white space, nor do its added tokens hold any, so a
 # text's ids are those of its pieces between ASCII white space, in order; each distinct piece is encoded by the tokenizers library
-# once a worker, one final stop or comma after a letter apart (it is a pre-token of its own). The library folds case: where
-# a text is plain ASCII without "<|", which added tokens start with, folding it first spares pieces and changes nothing.
+# once a worker, one final stop or comma after a letter apart (it is a pre-token of its own). The library folds case after it
+# composes letters with marks: folding ASCII letters first spares pieces, and changes nothing in texts without "<|", which added
+# tokens start with, and without the marks that ASCII letters compose with (U+0300 to U+037F begin with these two bytes).
 
 _TOKENIZERS: dict = {}
 #: Pieces that a worker keeps, and the bytes of one that it keeps.
 PIECES, PIECE_BYTES = 1_000_000, 256
+_UNFOLDED = (b"<|", b"\xcc", b"\xcd")
 
 
 def _tokenizer(path: str):
@@ -239,7 +241,7 @@ def _stem(piece: bytes) -> tuple[bytes, bytes]:
 
 
 def _pieces(text: bytes) -> list[bytes]:
-    return (text.lower() if text.isascii() and b"<|" not in text else text).split()
+    return (text if any(b in text for b in _UNFOLDED) else text.lower()).split()
 
 
 def _learn(tokenizer, width: int, known: dict[bytes, bytes], pieces: list[list[bytes]]) -> list[bytes]:
