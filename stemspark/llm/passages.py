@@ -9,7 +9,8 @@ whatever stands around it, and copies of the passage hold the same ones.
      document: an identical paragraph always does, one of Jaccard similarity 0.8 with probability 0.96.
   2. Equal paragraphs become one; the distinct ones are banded finely, and those that collide are verified by the exact
      Jaccard similarity of their shingle sets (array intersection and union) with their bucket's hub; where a bucket still
-     holds several classes, again in finer buckets. Pairs of a bucket are never listed.
+     holds several classes, again in finer buckets. What then still shares a bucket but no class is compared exactly, in
+     cells of two blocks of the bucket; a cell gives the classes it joins, pairs are never listed.
   3. Components of the verified links are the classes; the first paragraph of a class (smallest doc_id, then position)
      stays, the others are removed where the class spans more than one document.
   4. Neighbouring paragraphs merge into runs. A run shorter than PASSAGE = 51 words counts only if it lies in a run of 51
@@ -29,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stemspark.operators.graph import components
+from stemspark.operators.graph import components, linked
 
 from . import common
 from .shingles import SHINGLE, SIMILAR, joined_hashes, mix, run_hashes, shingle_hashes
@@ -40,6 +41,8 @@ COARSE = 2
 FINE_ROWS = 4
 #: Bands and rows for paragraphs whose buckets still hold several classes.
 FINER_BANDS, FINER_ROWS = 24, 8
+#: Paragraphs of a block (on average), and pairs that are verified in one go.
+BLOCK, PAIRS = 1000, 1 << 13
 _U = np.uint64
 _GOLD = 0x9E3779B97F4A7C15
 
@@ -178,6 +181,78 @@ def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"whole": pa.array(np.repeat(batch.column("whole").to_numpy(), FINER_BANDS)), "key": pa.array(keys.view(np.int64).ravel())})
 
 
+def _near(cell: np.ndarray, apart, grams: np.ndarray, similar: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (p, q) of a cell that are apart and similar enough: exact, since of two sets so similar the first values in any one
+    order (all but the share that similarity forbids to miss) have one in common, and all that have one are verified."""
+    x = np.sort(grams, axis=1)
+    again = np.zeros(x.shape, bool)
+    again[:, 1:] = x[:, 1:] == x[:, :-1]
+    size = x.shape[1] - again.sum(axis=1)
+    first = size - np.ceil(similar * size - 1e-9) + 1
+    row, column = np.nonzero(~again & (np.cumsum(~again, axis=1) <= first[:, None]))
+    value = x[row, column]
+    order = np.lexsort((row, value, cell[row]))
+    row, value = row[order], value[order]
+    group = np.cumsum(np.append(0, (value[1:] != value[:-1]) | (cell[row[1:]] != cell[row[:-1]])))
+    at, step = np.arange(len(row)), 1
+    while True:
+        at = at[at + step < len(row)]
+        at = at[group[at + step] == group[at]]
+        if not len(at):
+            return
+        p, q = row[at], row[at + step]
+        some = apart(p, q)
+        p, q = p[some], q[some]
+        for i in range(0, len(p), PAIRS):
+            a, b = p[i : i + PAIRS], q[i : i + PAIRS]
+            shared = ((x[a][:, :, None] == x[b][:, None, :]).any(axis=2) & ~again[a]).sum(axis=1)
+            near = shared >= similar * (size[a] + size[b] - shared)
+            yield a[near], b[near]
+        step += 1
+
+
+def _joined(similar: float):
+    """The classes that whole cells join (sorted by cell): each with the smallest one it is joined with."""
+
+    def cells(rows: pa.Table) -> pa.RecordBatch:
+        key, i, j, block, component = (rows.column(c).to_numpy() for c in ("key", "i", "j", "block", "component"))
+        grams = pa.concat_arrays(rows.column("grams").chunks).flatten().to_numpy().reshape(len(key), -1)
+        cell = np.cumsum(np.append(0, (np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)))
+        classes, of = np.unique(component, return_inverse=True)
+        pairs = list(_near(cell, lambda p, q: (of[p] != of[q]) & ((i[p] == j[p]) | (block[p] != block[q])), grams, similar))
+        a, b = (of[np.concatenate([v[k] for v in pairs])] if pairs else np.zeros(0, np.int64) for k in (0, 1))
+        least = linked(len(classes), a, b)
+        moved = least != np.arange(len(classes))
+        return pa.RecordBatch.from_pydict({"a": pa.array(classes[least[moved]], pa.int64()), "b": pa.array(classes[moved], pa.int64())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.sole("passages")
+        held: pa.Table | None = None  # the last cell, whose end may be in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held = pa.Table.from_batches([*(held.to_batches() if held else []), batch])
+            marks = [held.column(c).to_numpy() for c in ("key", "i", "j")]
+            ends = np.flatnonzero(np.logical_or.reduce([np.diff(m) != 0 for m in marks]))
+            if len(ends):
+                yield cells(held.slice(0, ends[-1] + 1))
+                held = held.slice(ends[-1] + 1)
+        if held:
+            yield cells(held)
+
+    return run
+
+
+def _rest(placed: DataFrame, grams: DataFrame, similar: float) -> DataFrame:
+    """Classes (a, b) that similar paragraphs join which share a bucket of placed(key, whole, component) but no class. A bucket is
+    split into blocks, and each two blocks are a cell of bounded size, wherever it goes."""
+    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi")
+    left = placed.join(mixed.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "key")
+    left = left.withColumn("block", F.pmod(F.xxhash64("whole"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    left = left.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "whole", "component").join(grams, "whole").drop("whole")
+    return left.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_joined(similar), "a long, b long").distinct()
+
+
 def _texts(docs: DataFrame) -> tuple[DataFrame, bool]:
     """doc_id and text of the rows that take part, one a doc_id (of several the smallest text), and whether a doc_id repeats."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
@@ -250,15 +325,23 @@ def _repeated(texts: DataFrame, found: DataFrame, similar: float, made: list[Dat
     coarse_members = members(contents.select("whole", F.explode_outer("keys").alias("key")))
     links = verified(hubs(coarse_members))
     labels = components(links.where("near"))
-    placed = coarse_members.join(labels.select(F.col("node").alias("whole"), "component"), "whole", "left").withColumn("component", F.coalesce("component", "whole"))
+
+    def placed_by(labels: DataFrame) -> DataFrame:
+        return coarse_members.select("key", "whole").join(labels.select(F.col("node").alias("whole"), "component"), "whole", "left").withColumn("component", F.coalesce("component", "whole"))
+
+    placed = placed_by(labels)
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     left = kept(placed.join(mixed, "key").select("whole").distinct(), "passages-mixed")
     if not left.isEmpty():
         pairs = hubs(members(contents.join(common.small(left), "whole", "left_semi").select("whole", "grams").mapInArrow(_finer, "whole long, key long")))
         tried = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         links = links.unionByName(verified(pairs.join(tried, ["a", "b"], "left_anti")))
-    labels = components(links.where("near")).select(F.col("node").alias("whole"), "component")
-    kinds = kinds.join(labels, "whole", "left").withColumn("class_id", F.coalesce("component", "whole"))
+        labels = components(links.where("near"))
+    kinds = kinds.join(labels.select(F.col("node").alias("whole"), "component"), "whole", "left").withColumn("class_id", F.coalesce("component", "whole")).drop("component")
+    if not left.isEmpty():
+        rest = kept(_rest(placed_by(labels), grams, similar), "passages-rest")
+        joined = components(rest).select(F.col("node").alias("class_id"), F.col("component").alias("joined"))
+        kinds = kinds.join(joined, "class_id", "left").withColumn("class_id", F.coalesce("joined", "class_id")).drop("joined")
     spans = kinds.groupBy("class_id").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max("hi").alias("hi")).where("first.doc_id < hi")
     classed = kinds.select("whole", "class_id").join(spans.select("class_id", "first"), "class_id")
     out = places.join(classed, "whole")

@@ -164,6 +164,37 @@ def test_passages_with_a_changed_word_and_short_texts(spark):
     assert {(r["_id"], r["_h"]) for r in after.values()} == {("keep", 1)}
 
 
+def test_paragraphs_unlike_their_hub(spark):
+    """Texts of one paragraph that share 23 words; pairs among them share 25. Every pair of a bucket counts, whatever its hub."""
+    heads = [text(5) for _ in range(20_000)]
+    words, first = passages.joined_hashes(heads)
+    head = heads[int(passages.shingle_hashes(words)[first].argmin())]  # so that the paragraph starts there in all texts
+    head = f"{head} {text(18)}"
+    texts = [f"{head} {middle} {text(1)}" for middle in (text(2) for _ in range(200)) for _ in range(2)]
+    found = {r["doc_id"]: r["class_id"] for r in passages.repeated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    grams = np.array([passages.shingle_hashes(passages.joined_hashes([t])[0]) for t in texts])
+    keys = passages._keys(grams, passages.tuned_bands(), passages.FINE_ROWS, 100)
+    coarse = np.stack([passages._minhash(grams, i) for i in range(passages.COARSE)], axis=1)
+    met = [((coarse == c).sum(axis=0) > 1).any() for c in coarse]  # those that collide coarsely with another text at all
+    linked = set()
+    for a in range(len(texts)):
+        for b in range(a):
+            x, y = set(grams[a].tolist()), set(grams[b].tolist())
+            if len(x & y) >= passages.SIMILAR * len(x | y):
+                linked |= {a, b}
+                assert not (met[a] and met[b] and (keys[a] == keys[b]).any()) or found[a] == found[b]
+    assert set(found) <= linked and len(found) > 380 and len(set(found.values())) > 180
+    # Long buckets are split into blocks, and their cells meet all pairs.
+    a, b = np.arange(0, 400, 2), np.arange(1, 400, 2)
+    every = list(passages._near(np.zeros(400, int), lambda p, q: p != q, grams, passages.SIMILAR))
+    assert {(int(p), int(q)) for ps, qs in every for p, q in zip(ps, qs, strict=True)} >= set(zip(a.tolist(), b.tolist(), strict=True))
+
+
+def test_paragraphs_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(passages, "BLOCK", 20)
+    test_paragraphs_unlike_their_hub(spark)
+
+
 def test_quality_statistics(docs):
     rows = {r["doc_id"]: r for r in quality.statistics(docs.where("doc_id <> 6")).collect()}
     assert rows[3]["n_words"] == 100 and rows[4]["n_words"] == 0 and rows[3]["n_repeat_words"] == 0
