@@ -183,8 +183,12 @@ def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _near(cell: np.ndarray, apart, grams: np.ndarray, similar: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Rows (p, q) of a cell that are apart and similar enough: exact, since of two sets so similar the first values in any one
-    order (all but the share that similarity forbids to miss) have one in common, and all that have one are verified."""
-    x = np.sort(grams, axis=1)
+    order, here the rarest first (all but the share that similarity forbids to miss), have one in common, and all that have one
+    are verified."""
+    values, of, times = np.unique(grams, return_inverse=True, return_counts=True)
+    place = np.empty(len(values), np.int32)
+    place[np.lexsort((values, times))] = np.arange(len(values))
+    x = np.sort(place[of.reshape(grams.shape)], axis=1)
     again = np.zeros(x.shape, bool)
     again[:, 1:] = x[:, 1:] == x[:, :-1]
     size = x.shape[1] - again.sum(axis=1)
@@ -331,7 +335,8 @@ def _repeated(texts: DataFrame, found: DataFrame, similar: float, made: list[Dat
 
     placed = placed_by(labels)
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    left = kept(placed.join(mixed, "key").select("whole").distinct(), "passages-mixed")
+    coarse_members = kept(placed.join(mixed, "key").select("key", "whole"), "passages-mixed")  # no other bucket can be mixed later
+    left = kept(coarse_members.select("whole").distinct(), "passages-left")
     if not left.isEmpty():
         pairs = hubs(members(contents.join(common.small(left), "whole", "left_semi").select("whole", "grams").mapInArrow(_finer, "whole long, key long")))
         tried = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -377,25 +382,44 @@ def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "at": pa.array([r[1] for r in rows], pa.int32()), "low": pa.array([r[2] for r in rows], pa.int32()), "x": pa.array([r[3] for r in rows], pa.list_(pa.int64()))})
 
 
+def _before(x: np.ndarray) -> np.ndarray:
+    """For each value of each row the last earlier place with the same value, else -1."""
+    n = x.shape[1]
+    same = (x[:, :, None] == x[:, None, :]) & np.tri(n, k=-1, dtype=bool)
+    return np.where(same.any(axis=2), n - 1 - same[:, :, ::-1].argmax(axis=2), -1)
+
+
 def _alike(similar: float):
     """Of two paragraphs with their surroundings: where 51 words begin, the same way off both, whose shingles are similar enough."""
     width = PASSAGE - SHINGLE + 1
+    reach = PASSAGE - WORDS + 1  # windows of a pair at most
+    within, starts = np.arange(reach - 1 + width), np.arange(reach)
+    inside = (within[:, None] >= starts) & (within[:, None] < starts + width)
+
+    def aligned(column: pa.Array, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The shingles from the first common offset on (what follows a list's end counts for nothing), and how many there are."""
+        ends, values = column.offsets.to_numpy(), column.values.to_numpy()
+        at = ends[:-1] + skip
+        return values[np.minimum(at[:, None] + within, len(values) - 1)], ends[1:] - at
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            c = batch.to_pydict()
-            for doc, at, low, x, kept_doc, kept_at, kept_low, y in zip(*(c[n] for n in ("doc_id", "at", "low", "x", "kept_doc_id", "kept_at", "kept_low", "y")), strict=True):
-                x, y = np.array(x), np.array(y)
-                for off in range(max(low - at, kept_low - kept_at), 1):
-                    i, j = at + off - low, kept_at + off - kept_low
-                    if i + width > len(x) or j + width > len(y):
-                        break
-                    a, b = np.unique(x[i : i + width]), np.unique(y[j : j + width])
-                    both = len(np.intersect1d(a, b, assume_unique=True))
-                    if both >= similar * (len(a) + len(b) - both):
-                        out += [(doc, at + off), (kept_doc, kept_at + off)]
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array([o[0] for o in out], pa.int64()), "p": pa.array([o[1] for o in out], pa.int32())})
+            for i in range(0, batch.num_rows, 256):
+                rows = batch.slice(i, 256)
+                doc, at, low, kept_doc, kept_at, kept_low = (rows.column(n).to_numpy() for n in ("doc_id", "at", "low", "kept_doc_id", "kept_at", "kept_low"))
+                back = np.minimum(at - low, kept_at - kept_low)
+                x, x_size = aligned(rows.column("x"), at - low - back)
+                y, y_size = aligned(rows.column("y"), kept_at - kept_low - back)
+                windows = np.minimum(back + 1, np.minimum(x_size, y_size) - width + 1)
+                # How often a value of x stands in y before each place, so that a window's share is a difference.
+                seen = np.zeros((*x.shape, len(within) + 1), np.uint8)
+                np.cumsum(x[:, :, None] == y[:, None, :], axis=2, dtype=np.uint8, out=seen[:, :, 1:])
+                first_x, first_y = ((_before(v)[:, :, None] < starts) & inside for v in (x, y))
+                both = (first_x & (seen[:, :, width:] > seen[:, :, :reach])).sum(axis=1)
+                near = both >= similar * (first_x.sum(axis=1) + first_y.sum(axis=1) - both)
+                row, off = np.nonzero(near & (starts < windows[:, None]))
+                off = off - back[row]
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(np.concatenate([doc[row], kept_doc[row]]), pa.int64()), "p": pa.array(np.concatenate([at[row] + off, kept_at[row] + off]), pa.int32())})
 
     return run
 
