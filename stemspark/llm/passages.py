@@ -8,9 +8,9 @@ whatever stands around it, and copies of the passage hold the same ones.
   1. Coarse bands of one MinHash value each (a join on the band key) keep the paragraphs that collide with one of another
      document: an identical paragraph always does, one of Jaccard similarity 0.8 with probability 0.96.
   2. Equal paragraphs become one; the distinct ones are banded finely, and those that collide are verified by the exact
-     Jaccard similarity of their shingle sets (array intersection and union) with their bucket's hub; where a bucket still
-     holds several classes, again in finer buckets. What then still shares a bucket but no class is compared exactly, in
-     cells of two blocks of the bucket; a cell gives the classes it joins, pairs are never listed.
+     Jaccard similarity of their shingle sets (array intersection and union) with their bucket's hub. What then still shares
+     a bucket but no class is compared exactly, in cells of two blocks of the bucket; a cell gives the classes it joins, pairs
+     are never listed. No similar pair that shares a bucket is lost.
   3. Components of the verified links are the classes; the first paragraph of a class (smallest doc_id, then position)
      stays, the others are removed where the class spans more than one document.
   4. Neighbouring paragraphs merge into runs. A run shorter than PASSAGE = 51 words counts only if it lies in a run of 51
@@ -39,15 +39,13 @@ WORDS = STEP = 26
 PASSAGE = WORDS + STEP - 1
 COARSE = 2
 FINE_ROWS = 4
-#: Bands and rows for paragraphs whose buckets still hold several classes.
-FINER_BANDS, FINER_ROWS = 24, 8
 #: Paragraphs of a block (on average), and pairs that are verified in one go.
 BLOCK, PAIRS = 1000, 1 << 13
 _U = np.uint64
 _GOLD = 0x9E3779B97F4A7C15
 
 
-def tuned_bands(similar: float = SIMILAR, rows: int = FINE_ROWS, recall: float = 0.98) -> int:
+def tuned_bands(similar: float = SIMILAR, rows: int = FINE_ROWS, recall: float = 0.99) -> int:
     """The fewest bands of `rows` values that bring a pair of this similarity together with at least this probability."""
     bands = 1
     while 1 - (1 - similar**rows) ** bands < recall:
@@ -173,14 +171,6 @@ def _contents(bands: int):
     return run
 
 
-def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            grams = batch.column("grams").flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)
-            keys = _keys(grams, FINER_BANDS, FINER_ROWS, 1000)
-            yield pa.RecordBatch.from_pydict({"whole": pa.array(np.repeat(batch.column("whole").to_numpy(), FINER_BANDS)), "key": pa.array(keys.view(np.int64).ravel())})
-
-
 def _near(cell: np.ndarray, apart, grams: np.ndarray, similar: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Rows (p, q) of a cell that are apart and similar enough: exact, since of two sets so similar the first values in any one
     order, here the rarest first (all but the share that similarity forbids to miss), have one in common, and all that have one
@@ -323,30 +313,14 @@ def _repeated(texts: DataFrame, found: DataFrame, similar: float, made: list[Dat
         spread = common.small(kept(spread, "passages-hubs"))
         return kept(keys.join(spread, "key"), "passages-buckets")
 
-    def hubs(rows: DataFrame) -> DataFrame:
-        return rows.where("whole <> b").select(F.col("whole").alias("a"), "b").distinct()
-
-    coarse_members = members(contents.select("whole", F.explode_outer("keys").alias("key")))
-    links = verified(hubs(coarse_members))
+    buckets = members(contents.select("whole", F.explode_outer("keys").alias("key")))
+    links = verified(buckets.where("whole <> b").select(F.col("whole").alias("a"), "b").distinct())
     labels = components(links.where("near"))
-
-    def placed_by(labels: DataFrame) -> DataFrame:
-        return coarse_members.select("key", "whole").join(labels.select(F.col("node").alias("whole"), "component"), "whole", "left").withColumn("component", F.coalesce("component", "whole"))
-
-    placed = placed_by(labels)
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    coarse_members = kept(placed.join(mixed, "key").select("key", "whole"), "passages-mixed")  # no other bucket can be mixed later
-    left = kept(coarse_members.select("whole").distinct(), "passages-left")
-    if not left.isEmpty():
-        pairs = hubs(members(contents.join(common.small(left), "whole", "left_semi").select("whole", "grams").mapInArrow(_finer, "whole long, key long")))
-        tried = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        links = links.unionByName(verified(pairs.join(tried, ["a", "b"], "left_anti")))
-        labels = components(links.where("near"))
+    placed = buckets.select("key", "whole").join(labels.select(F.col("node").alias("whole"), "component"), "whole", "left")
+    rest = kept(_rest(placed.withColumn("component", F.coalesce("component", "whole")), grams, similar), "passages-rest")
     kinds = kinds.join(labels.select(F.col("node").alias("whole"), "component"), "whole", "left").withColumn("class_id", F.coalesce("component", "whole")).drop("component")
-    if not left.isEmpty():
-        rest = kept(_rest(placed_by(labels), grams, similar), "passages-rest")
-        joined = components(rest).select(F.col("node").alias("class_id"), F.col("component").alias("joined"))
-        kinds = kinds.join(joined, "class_id", "left").withColumn("class_id", F.coalesce("joined", "class_id")).drop("joined")
+    joined = components(rest).select(F.col("node").alias("class_id"), F.col("component").alias("joined"))
+    kinds = kinds.join(joined, "class_id", "left").withColumn("class_id", F.coalesce("joined", "class_id")).drop("joined")
     spans = kinds.groupBy("class_id").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max("hi").alias("hi")).where("first.doc_id < hi")
     classed = kinds.select("whole", "class_id").join(spans.select("class_id", "first"), "class_id")
     out = places.join(classed, "whole")
