@@ -19,10 +19,11 @@ REPEAT = 8
 COVER, STEPS = 0.75, 4
 #: Groups with fewer documents to estimate from take the estimate of their language, then of all.
 LEAST = 50
-#: Variance that every statistic has at least (most texts have no symbol and no repeat at all).
-FLOOR = 0.08**2
+#: Variance that every statistic has at least (most texts have no symbol and no repeat at all): that of the square root of a
+#: share counted in the shortest text that the base rules pass, 1 / 4n.
+FLOOR = 1 / (4 * MIN_WORDS)
 #: A document is an outlier beyond this quantile of the chi-squared distribution.
-REJECT = 1 - 1e-9
+REJECT = 0.999
 STATS = ("x1", "x2", "x3", "x4", "x5")
 P = len(STATS)
 PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]

@@ -1,5 +1,6 @@
 import base64
 import io
+import math
 import random
 import zlib
 
@@ -204,6 +205,43 @@ def test_quality_statistics(docs):
     assert quality.rules(docs.limit(0)).count() == 0 and not {r["kept"] for r in quality.rules(docs.where("doc_id in (4, 5)")).collect()} - {False}
 
 
+def test_outliers_like_brute_force(spark):
+    rng = random.Random(17)
+    word = lambda: rng.choice("abcdefghij") * rng.randint(1, 4) + rng.choice("klmnop") * rng.randint(1, 4)
+    line = lambda n: " ".join(word() for _ in range(n))
+    texts = ["\n".join(line(8) for _ in range(rng.randint(4, 60))) for _ in range(280)]
+    texts += ["\n".join(line(8) + " # # # $ $ %" for _ in range(30)) for _ in range(8)]
+    texts += ["\n".join([line(4)] * 20 + [line(6) for _ in range(10)]) for _ in range(8)]
+    texts += [" ".join("q" * rng.randint(25, 40) for _ in range(120)) for _ in range(8)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), 1) for i, t in enumerate(texts)], SCHEMA)
+    rows = sorted(quality.rules(docs).collect(), key=lambda r: r["doc_id"])
+    fit = [r for r in rows if not r["base_failed"]]
+    count = np.array([[r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]] for r in fit], float)
+    n = count[:, 0]
+    x = np.column_stack([np.log(n) / 2, np.log(count[:, 1] / n), *(np.sqrt(np.minimum(count[:, k] / n, 1)) for k in (2, 3, 4))])
+    moments = lambda part: (part.mean(axis=0), np.cov(part.T, bias=True) + quality.FLOOR * np.eye(5))
+    d2 = lambda m, c: np.einsum("ij,ij->i", (x - m) @ np.linalg.inv(c), x - m)
+    best, draw = None, np.random.default_rng(5)
+    for _ in range(200):  # random starts, each to convergence
+        part = x[draw.choice(len(x), 6, replace=False)]
+        for _ in range(100):
+            m, c = moments(part)
+            part = x[np.argsort(d2(m, c), kind="stable")[: math.ceil(quality.COVER * len(x))]]
+            if np.allclose(moments(part)[1], c, atol=1e-12):
+                break
+        m, c = moments(part)
+        if best is None or np.linalg.slogdet(c)[1] < best[0]:
+            best = np.linalg.slogdet(c)[1], m, c
+    scale = quality.COVER / quality.chi2_cdf(quality.chi2_quantile(quality.COVER, 5), 7)
+    m, c = moments(x[d2(best[1], best[2]) <= scale * quality.chi2_quantile(0.975, 5)])
+    want = np.sqrt(d2(m, c))
+    got = np.array([r["distance"] for r in fit])
+    assert np.max(np.abs(got - want) / np.maximum(want, 1)) < 0.05
+    assert [r["kept"] for r in fit] == (want**2 <= quality.chi2_quantile(quality.REJECT, 5)).tolist()
+    kept = {r["doc_id"] for r in rows if r["kept"]}
+    assert not kept & set(range(280, 304)) and len(kept) >= 275
+
+
 def test_mixing_fills_siblings_first(spark):
     leaves = spark.createDataFrame([("a", "en", "s", 10), ("a", "en", "t", 100), ("b", "en", "s", 100)], "domain string, lang string, source string, tokens long")
     got = {(r["domain"], r["source"]): r["budget"] for r in mixing.budgets(leaves, mixing.Mix(share=0.5, epochs=1)).collect()}
