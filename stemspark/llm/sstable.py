@@ -16,11 +16,13 @@ inside the block, and scans at most RESTART entries.
 from __future__ import annotations
 
 import bisect
+import re
 import struct
 import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -215,11 +217,15 @@ class Reader:
 # once a worker, one final stop or comma after a letter apart (it is a pre-token of its own). The library folds case after it
 # composes letters with marks: folding ASCII letters first spares pieces, and changes nothing in texts without "<|", which added
 # tokens start with, and without the marks that ASCII letters compose with (U+0300 to U+037F begin with these two bytes).
+# Pieces of Latin letters that have one form only are single pre-tokens: many are encoded as one text and told apart by the
+# vocabulary's mark at a word's end.
 
 _TOKENIZERS: dict = {}
 #: Pieces that a worker keeps, and the bytes of one that it keeps.
 PIECES, PIECE_BYTES = 1_000_000, 256
 _UNFOLDED = (b"<|", b"\xcc", b"\xcd")
+_LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+")
+WORD_END = "</w>"
 
 
 def _tokenizer(path: str):
@@ -230,8 +236,11 @@ def _tokenizer(path: str):
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
+        vocab = t.get_vocab()
+        ends = np.zeros(max(vocab.values()) + 1, bool)
+        ends[[i for token, i in vocab.items() if token.endswith(WORD_END)]] = True
         _TOKENIZERS.clear()
-        _TOKENIZERS[path] = t, 2 if t.get_vocab_size() <= 1 << 16 else 4, {}
+        _TOKENIZERS[path] = t, 2 if t.get_vocab_size() <= 1 << 16 else 4, {}, ends
     return _TOKENIZERS[path]
 
 
@@ -244,7 +253,17 @@ def _pieces(text: bytes) -> list[bytes]:
     return (text if any(b in text for b in _UNFOLDED) else text.lower()).split()
 
 
-def _learn(tokenizer, width: int, known: dict[bytes, bytes], pieces: list[list[bytes]]) -> list[bytes]:
+def _encode_words(tokenizer, width: int, ends: np.ndarray, words: list[bytes], texts: list[str]) -> dict[bytes, bytes] | None:
+    """The ids of words that are single pre-tokens, from one text of them; None if the vocabulary doesn't mark each one's end."""
+    ids = np.array(tokenizer.encode_batch_fast([" ".join(texts)], add_special_tokens=False)[0].ids, f"<u{width}")
+    after = (np.flatnonzero(ends[ids]) + 1) * width
+    if len(after) != len(words) or after[-1] != len(ids) * width:
+        return None
+    data, after = ids.tobytes(), after.tolist()
+    return {w: data[i:j] for w, i, j in zip(words, [0, *after], after, strict=False)}
+
+
+def _learn(tokenizer, width: int, known: dict[bytes, bytes], ends: np.ndarray, pieces: list[list[bytes]]) -> list[bytes]:
     """Puts the ids of every piece into known; returns the pieces that are too long to be kept."""
     every = set().union(*pieces)
     new = every.difference(known)
@@ -256,7 +275,15 @@ def _learn(tokenizer, width: int, known: dict[bytes, bytes], pieces: list[list[b
     kind = "H" if width == 2 else "I"
     for at in range(0, len(todo), 10_000):
         part = todo[at : at + 10_000]
-        for p, e in zip(part, tokenizer.encode_batch_fast([p.decode() for p in part], add_special_tokens=False), strict=True):
+        texts = [p.decode() for p in part]
+        plain = [_LETTERS.fullmatch(t) is not None for t in texts]
+        words = list(compress(part, plain))
+        found = _encode_words(tokenizer, width, ends, words, list(compress(texts, plain))) if words else {}
+        if found is not None:
+            known.update(found)
+            single = [not x for x in plain]
+            part, texts = list(compress(part, single)), list(compress(texts, single))
+        for p, e in zip(part, tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
             known[p] = array(kind, e.ids).tobytes()
     for p, (stem, end) in cut.items():
         if end:
@@ -266,9 +293,9 @@ def _learn(tokenizer, width: int, known: dict[bytes, bytes], pieces: list[list[b
 
 def encode_texts(texts: list[bytes | None], path: str, end_id: int) -> tuple[list[bytes], int]:
     """The ids of each text (UTF-8) and end_id, as bytes; and the bytes an id takes."""
-    tokenizer, width, known = _tokenizer(path)
+    tokenizer, width, known, ends = _tokenizer(path)
     pieces = [_pieces(t or b"") for t in texts]
-    long_ = _learn(tokenizer, width, known, pieces)
+    long_ = _learn(tokenizer, width, known, ends, pieces)
     end = np.array([end_id], f"<u{width}").tobytes()
     out = [b"".join(map(known.__getitem__, text)) + end for text in pieces]
     for p in long_:
