@@ -1,10 +1,10 @@
 """MinHash near-dedup for weighted sets: improved consistent weighted sampling over TF-IDF word shingles, banded, verified
 by weighted Jaccard similarity.
 
-A text's set is its 5-word shingles; a shingle weighs its count times its inverse document frequency. Frequencies are counted
-over one document of each family of likely copies: else the shingles of a large group of near copies, being frequent, would
-weigh less than the edits that tell the copies apart. A document is left out of the count (of nothing else) if it shares a
-band of plain MinHash values with one of a smaller doc_id. Frequencies are kept in a sketch of fixed size: DEPTH tables of
+A text's set is its 5-word shingles; a shingle weighs its count times its inverse document frequency. Every document is
+counted, with a share of one by the family of likely copies that it is in: else the shingles of a large group of near copies,
+being frequent, would weigh less than the edits that tell the copies apart. A document's share is one over the number of
+documents in the largest bucket of plain MinHash values that it is in. Frequencies are kept in a sketch of fixed size: DEPTH tables of
 WIDTH counters, the smallest of a shingle's counters is its frequency. Its error is a fixed share of the documents
 (about distinct shingles a document / WIDTH, 0.1 %), so weights mean the same at every size: frequencies below FLOOR of all
 counted documents count as FLOOR.
@@ -28,6 +28,8 @@ WIDTH, DEPTH, SLICE = 1 << 18, 2, 1 << 12
 FLOOR = 1 / 256
 #: Bands and rows that tell families for the count: a pair at the least similarity shares a band with probability 0.998.
 FAMILY_BANDS, FAMILY_ROWS = 6, 2
+#: A whole document in the count; shares are whole numbers of its parts, so that their sums don't depend on their order.
+WHOLE = 1 << 20
 #: A pair at the least similarity shares a band with probability 1 - (1 - 0.8 ** ROWS) ** BANDS = 0.9992.
 BANDS, ROWS = 10, 3
 #: The finer bands for documents whose buckets still hold several components: 0.988 at the least similarity, 0.1 at 0.6.
@@ -68,10 +70,27 @@ def _family_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 group, size = [], 0
 
 
+def _families(texts: DataFrame) -> DataFrame:
+    """doc_id, bucket of the family bands of texts(doc_id, text; doc_ids distinct)."""
+    common.ship(texts.sparkSession)
+    return common.stored(texts.mapInArrow(_family_rows, "doc_id long, bucket long"), "near-families")
+
+
+def shares(texts: DataFrame) -> DataFrame:
+    """doc_id, parts (of WHOLE, at least 1) of the texts(doc_id, text; doc_ids distinct) that share a family band with another:
+    the others count whole."""
+    rows = _families(texts)
+    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    sizes = common.stored(sizes, "near-sizes")  # stored, so that the join splits buckets with many members
+    most = rows.join(sizes, "bucket").groupBy("doc_id").agg(F.max("size").alias("size"))
+    found = common.stored(most.select("doc_id", F.greatest(F.lit(1), F.floor(F.lit(WHOLE) / F.col("size"))).cast("long").alias("parts")), "near-shares")
+    common.forget(rows, sizes)
+    return found
+
+
 def followers(texts: DataFrame) -> DataFrame:
     """doc_id of the texts(doc_id, text; doc_ids distinct) that share a family band with one of a smaller doc_id."""
-    common.ship(texts.sparkSession)
-    rows = common.stored(texts.mapInArrow(_family_rows, "doc_id long, bucket long"), "near-families")
+    rows = _families(texts)
     firsts = rows.groupBy("bucket").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("bucket", "first")
     firsts = common.stored(firsts, "near-firsts")  # stored, so that the join splits buckets with many members
     found = common.stored(rows.join(firsts, "bucket").where("doc_id > first").select("doc_id").distinct(), "near-followers")
@@ -80,25 +99,27 @@ def followers(texts: DataFrame) -> DataFrame:
 
 
 def document_frequencies(docs: DataFrame) -> np.ndarray:
-    """The sketch over every document's distinct shingles, int64[DEPTH, WIDTH]. Each task counts into one table of fixed size
-    and hands on its slices; slices are added up by their number."""
+    """The sketch over every document's distinct shingles, float64[DEPTH, WIDTH], in documents: each counts with its parts of
+    WHOLE, or whole where docs has no column of that name or a null in it. Each task counts into one table of fixed size and
+    hands on its slices; slices are added up by their number."""
     common.ship(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros((DEPTH, WIDTH), np.uint32)
-        waiting: list[np.ndarray] = []
+        sketch = np.zeros((DEPTH, WIDTH), np.int64)
+        waiting: list[tuple[np.ndarray, int]] = []
 
         def add_up() -> None:
-            for table, slots in zip(sketch, _slots(np.concatenate(waiting)), strict=True):
-                table += np.bincount(slots, minlength=WIDTH).astype(np.uint32)
+            parts = np.repeat(np.array([p for _, p in waiting], np.float64), [len(x) for x, _ in waiting])
+            for table, slots in zip(sketch, _slots(np.concatenate([x for x, _ in waiting])), strict=True):
+                table += np.bincount(slots, parts, WIDTH).astype(np.int64)  # whole numbers far below 2 ** 53
             waiting.clear()
 
         size = 0
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                waiting.append(np.unique(shingle_hashes(word_hashes(text))))
-                size += len(waiting[-1])
-                if size > 1 << 21:
+            for text, parts in zip(batch.column("text").to_pylist(), batch.column("parts").to_pylist(), strict=True):
+                waiting.append((np.unique(shingle_hashes(word_hashes(text))), parts))
+                size += len(waiting[-1][0])
+                if size > 1 << 20:
                     add_up()
                     size = 0
         if waiting:
@@ -106,31 +127,32 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
         if sketch.any():
             parts = sketch.reshape(-1, SLICE)
             full = np.flatnonzero(parts.any(axis=1))
-            for at in range(0, len(full), 64):
-                ids = full[at : at + 64]
+            for at in range(0, len(full), 32):
+                ids = full[at : at + 32]
                 yield pa.RecordBatch.from_pydict({"part": pa.array(ids, pa.int32()), "counts": pa.array([parts[i].tobytes() for i in ids], pa.binary())})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, counts in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                now = np.frombuffer(counts, np.uint32 if len(counts) == 4 * SLICE else np.int64).astype(np.int64)
+                now = np.frombuffer(counts, np.int64)
                 total[part] = total[part] + now if part in total else now
         if total:
             yield pa.RecordBatch.from_pydict({"part": pa.array(list(total), pa.int32()), "counts": pa.array([v.tobytes() for v in total.values()], pa.binary())})
 
     schema = "part int, counts binary"
-    counted = docs.select("text").mapInArrow(count, schema)
+    parts = F.coalesce("parts", F.lit(WHOLE)) if "parts" in docs.columns else F.lit(WHOLE)
+    counted = docs.select("text", parts.cast("long").alias("parts")).mapInArrow(count, schema)
     # There are DEPTH * WIDTH / SLICE = 128 parts, however many tasks there are.
     rows = counted.repartition("part").mapInArrow(add, schema).collect()
     out = np.zeros((DEPTH * WIDTH // SLICE, SLICE), np.int64)
     for r in rows:
         out[r["part"]] += np.frombuffer(r["counts"], np.int64)
-    return out.reshape(DEPTH, WIDTH)
+    return out.reshape(DEPTH, WIDTH) / WHOLE
 
 
-def inverse(sketch: np.ndarray, n: int) -> np.ndarray:
-    """ln(1 + n / frequency) for every counter, frequencies of at least FLOOR * n (n: the documents counted)."""
+def inverse(sketch: np.ndarray, n: float) -> np.ndarray:
+    """ln(1 + n / frequency) for every counter, frequencies of at least FLOOR * n (n: the documents counted, by their shares)."""
     return np.log1p(max(n, 1) / np.maximum(sketch, max(1.0, FLOOR * n))).astype(np.float32)
 
 
@@ -331,9 +353,10 @@ def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     one = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id").limit(1).count() == 0
     texts = known if one else known.withColumn("o", F.struct(F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g"))).join(hashed.select("doc_id", F.struct("h", "g").alias("o")), ["doc_id", "o"]).dropDuplicates(["doc_id"]).drop("o")
     reps = exact.where("doc_id = exact_id").select("doc_id")
-    later = followers(texts)  # exact copies are among them
-    n = hashed.count() - later.count()
-    idf = spark.sparkContext.broadcast(inverse(document_frequencies(texts.join(common.small(later), "doc_id", "left_anti")), n))  # DEPTH * WIDTH floats, whatever the input
+    parts = shares(texts)  # exact copies are among them
+    shared = parts.agg(F.count(F.lit(1)).alias("n"), F.sum("parts").alias("parts")).first()
+    n = hashed.count() - shared["n"] + (shared["parts"] or 0) / WHOLE
+    idf = spark.sparkContext.broadcast(inverse(document_frequencies(texts.join(common.small(parts), "doc_id", "left")), n))  # DEPTH * WIDTH floats, whatever the input
     members = texts.mapInArrow(_band_rows(idf), "doc_id long, bucket long").join(reps, "doc_id", "left_semi")
     every = common.stored(members, "near-members")
     members = _ranked(every)
@@ -365,7 +388,7 @@ def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
         tried_links.append(common.stored(_verified(pairs, texts, idf, least), "near-links"))
         links = links.unionByName(tried_links[-1])
         labels = components(links.where("near"))
-    common.forget(hashed, firsts, later, members, texts, *tried_links)
+    common.forget(hashed, firsts, parts, members, texts, *tried_links)
     labels = labels.select(F.col("node").alias("exact_id"), "component")
     out = exact.join(labels, "exact_id", "left").select("doc_id", "exact_id", F.coalesce("component", "exact_id").alias("class_id"))
     if one:

@@ -361,3 +361,17 @@ def test_classifier_separates(spark):
     out = [r for r in zclassifier.score(docs, zclassifier.fit(docs, labels)).collect() if r["doc_id"] < 900 and r["held_out"]]
     assert len(out) > 30 and np.mean([r["predicted"] == r["doc_id"] % 2 for r in out]) > 0.95
     assert zclassifier.score(docs, zclassifier.fit(docs, labels.limit(0))).where("score between 0 and 1").count() == 201
+
+
+def test_every_document_counts(spark):
+    """Texts that share a family band with one of a smaller doc_id count too: each by its share."""
+    base = text(80).split()
+    rows = [(i, " ".join(base[:79] + [f"own{i}"])) for i in range(4)] + [(9, text(60))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    parts = weighted_minhash.shares(docs)
+    assert {(r["doc_id"], r["parts"]) for r in parts.collect()} == {(i, weighted_minhash.WHOLE // 4) for i in range(4)}
+    sketch = weighted_minhash.document_frequencies(docs.join(parts, "doc_id", "left"))
+    for i, t in rows:
+        x = weighted_minhash.weighted_set(t, sketch.astype(np.float32))[0]
+        least = np.minimum(*[table[slots] for table, slots in zip(sketch, weighted_minhash._slots(x), strict=True)])
+        assert least.min() >= (0.25 if i < 4 else 1) and least.max() <= 1.5
