@@ -3,7 +3,7 @@ import pytest
 
 from stemspark.functions import geometry
 from stemspark.operators import ground, location, sections, tiles
-from stemspark.params import FEW_SECTORS, INNER_POINTS, NOT_ENOUGH_POINTS, RUN_INVALID, RUN_NO_CLUSTERS, SUCCESS, TOO_LARGE, TOO_SMALL, Ground, Params, Stem
+from stemspark.params import FEW_SECTORS, INNER_POINTS, NOT_ENOUGH_POINTS, RUN_INVALID, RUN_NO_CLUSTERS, SUCCESS, TILT_OUTLIER, TOO_LARGE, TOO_SMALL, Ground, Params, Stem
 from stemspark.plans import queries, run, stem_queries
 from stemspark.sources import points
 from stemspark.storage import numbered
@@ -158,3 +158,19 @@ def test_stems_of_a_large_plot_stay_whole(spark, tmp_path):
     rows = queries.inventory_trees(spark, _orders(spark, tmp_path, 989, 10)).collect()
     assert len(rows) == 10
     assert all(r["whole"] for r in rows)
+
+
+def test_a_run_on_a_large_plot_gives_a_row_a_tree(spark, tmp_path):
+    rows = stem_queries.inventory_run(spark, _orders(spark, tmp_path, 989, 10)).collect()
+    assert len(rows) == 10
+    assert {(r["dbh_source"], r["height"], r["axis_valid"]) for r in rows} == {(0, 6, True)}
+
+
+def test_no_section_of_a_swept_stem_is_voted_out(spark, tmp_path):
+    sf = _orders(spark, tmp_path, 989, 10)
+    states = []
+    for sweep in (0.0, 0.001):
+        sliced = sections.slices(queries.forest(spark, sf, even=True, sweep=sweep).where("z0 > 0").withColumnRenamed("t", "stem_id"), Stem())
+        found = sections.circles(sliced, Stem()).withColumn("z0", sections.heights(Stem())).localCheckpoint()
+        states.append({r["status"] for r in sections.voted(found, Stem()).select("status").collect()})
+    assert states == [{SUCCESS, TILT_OUTLIER}, {SUCCESS}]
