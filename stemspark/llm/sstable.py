@@ -22,10 +22,11 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import compress
+from itertools import compress, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
 import zstandard
@@ -214,15 +215,19 @@ class Reader:
 
 # Encoding. The vocabulary's normaliser and pre-tokeniser never look across white space, nor do its added tokens hold any, so a
 # text's ids are those of its pieces between ASCII white space, in order; each distinct piece is encoded by the tokenizers library
-# once a worker, one final stop or comma after a letter apart (it is a pre-token of its own). The library folds case after it
+# once a worker, the final marks after a letter or digit apart (they are a pre-token of their own). The library folds case after it
 # composes letters with marks: folding ASCII letters first spares pieces, and changes nothing in texts without "<|", which added
 # tokens start with, and without the marks that ASCII letters compose with (U+0300 to U+037F begin with these two bytes).
 # Pieces of Latin letters that have one form only are single pre-tokens: many are encoded as one text and told apart by the
-# vocabulary's mark at a word's end.
+# vocabulary's mark at a word's end. Arrow cuts a group of texts into pieces, numbers the distinct ones and puts their ids in a row.
 
 _TOKENIZERS: dict = {}
 #: Pieces that a worker keeps, and the bytes of one that it keeps.
 PIECES, PIECE_BYTES = 1_000_000, 256
+#: Bytes of texts that are encoded in one go; the last text of a group may be longer.
+GROUP_BYTES = 16 << 20
+#: Marks that may end a piece: not the apostrophe, which is part of pre-tokens, nor what added tokens end with.
+_MARKS = b".,;:!?*&$%#@+=~^`\"()[]{}/\\-_"
 _UNFOLDED = (b"<|", b"\xcc", b"\xcd")
 _LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+")
 WORD_END = "</w>"
@@ -245,12 +250,20 @@ def _tokenizer(path: str):
 
 
 def _stem(piece: bytes) -> tuple[bytes, bytes]:
-    """The piece and the final stop or comma that follows an ASCII letter."""
-    return (piece[:-1], piece[-1:]) if len(piece) > 1 and piece[-1] in b".," and 97 <= piece[-2] | 32 <= 122 else (piece, b"")
+    """The piece and the final marks that follow a letter or digit."""
+    stem = piece.rstrip(_MARKS)
+    if len(stem) == len(piece) or not stem:
+        return piece, b""
+    last = stem[-1]
+    apart = 97 <= last | 32 <= 122 or 48 <= last <= 57 or (last > 127 and _LETTERS.fullmatch(stem.decode()) is not None)
+    return (stem, piece[len(stem) :]) if apart else (piece, b"")
 
 
-def _pieces(text: bytes) -> list[bytes]:
-    return (text if any(b in text for b in _UNFOLDED) else text.lower()).split()
+def _pieces(texts: list[bytes]) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """Where the pieces of each text begin and the last ones end, and the pieces of all texts in a row (empty ones may be among them)."""
+    folded = pa.array([t if any(b in t for b in _UNFOLDED) else t.lower() for t in texts], pa.binary())
+    cut = pc.ascii_split_whitespace(pa.StringArray.from_buffers(len(folded), *folded.buffers()[1:]))
+    return cut.offsets.to_numpy(), cut.values.dictionary_encode()
 
 
 def _encode_words(tokenizer, width: int, ends: np.ndarray, words: list[bytes], texts: list[str]) -> dict[bytes, bytes] | None:
@@ -263,44 +276,56 @@ def _encode_words(tokenizer, width: int, ends: np.ndarray, words: list[bytes], t
     return {w: data[i:j] for w, i, j in zip(words, [0, *after], after, strict=False)}
 
 
-def _learn(tokenizer, width: int, known: dict[bytes, bytes], ends: np.ndarray, pieces: list[list[bytes]]) -> list[bytes]:
-    """Puts the ids of every piece into known; returns the pieces that are too long to be kept."""
-    every = set().union(*pieces)
-    new = every.difference(known)
-    if len(known) + len(new) > PIECES:
+def _learn(tokenizer, width: int, known: dict[bytes, bytes], ends: np.ndarray, every: list[bytes]) -> list[bytes]:
+    """The ids of distinct pieces, which known then keeps unless they are too long."""
+    found = list(map(known.get, every))
+    places = [i for i, ids in enumerate(found) if ids is None]
+    if len(known) + len(places) > PIECES:
         known.clear()
-        new = every
-    cut = {p: _stem(p) for p in new}
-    todo = list({s for pair in cut.values() for s in pair if s}.difference(known))
+    known[b""] = b""
+    cut = [(i, every[i], *_stem(every[i])) for i in places]
+    todo = list({s for _, _, *pair in cut for s in pair}.difference(known))
     kind = "H" if width == 2 else "I"
     for at in range(0, len(todo), 10_000):
         part = todo[at : at + 10_000]
         texts = [p.decode() for p in part]
         plain = [_LETTERS.fullmatch(t) is not None for t in texts]
         words = list(compress(part, plain))
-        found = _encode_words(tokenizer, width, ends, words, list(compress(texts, plain))) if words else {}
-        if found is not None:
-            known.update(found)
+        pure = _encode_words(tokenizer, width, ends, words, list(compress(texts, plain))) if words else {}
+        if pure is not None:
+            known.update(pure)
             single = [not x for x in plain]
             part, texts = list(compress(part, single)), list(compress(texts, single))
         for p, e in zip(part, tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
             known[p] = array(kind, e.ids).tobytes()
-    for p, (stem, end) in cut.items():
-        if end:
-            known[p] = known[stem] + known[end]
-    return [p for p in {*new, *todo} if len(p) > PIECE_BYTES]
+    for i, p, stem, end in cut:
+        found[i] = known[p] = known[stem] + known[end] if end else known[stem]
+    for _, *of in cut:
+        for p in of:
+            if len(p) > PIECE_BYTES:
+                known.pop(p, None)
+    return found
 
 
 def encode_texts(texts: list[bytes | None], path: str, end_id: int) -> tuple[list[bytes], int]:
     """The ids of each text (UTF-8) and end_id, as bytes; and the bytes an id takes."""
     tokenizer, width, known, ends = _tokenizer(path)
-    pieces = [_pieces(t or b"") for t in texts]
-    long_ = _learn(tokenizer, width, known, ends, pieces)
+    starts, pieces = _pieces([t or b"" for t in texts])
+    distinct = pieces.dictionary.cast(pa.binary()).to_pylist()
+    values = pa.array(_learn(tokenizer, width, known, ends, distinct), pa.large_binary())
+    at = np.append(0, np.cumsum(pc.binary_length(values).to_numpy()[pieces.indices.to_numpy()]))[starts].tolist()
+    data = memoryview(values.take(pieces.indices).buffers()[2] or b"")
     end = np.array([end_id], f"<u{width}").tobytes()
-    out = [b"".join(map(known.__getitem__, text)) + end for text in pieces]
-    for p in long_:
-        known.pop(p, None)
-    return out, width
+    return [bytes(data[i:j]) + end for i, j in pairwise(at)], width
+
+
+def _grouped(texts: list[bytes | None]) -> Iterator[tuple[int, int]]:
+    start = size = 0
+    for i, t in enumerate(texts, 1):
+        size += len(t or b"")
+        if size >= GROUP_BYTES or i == len(texts):
+            yield start, i
+            start, size = i, 0
 
 
 def _write_shards(path: str, end_id: int, folder: str, shard_bytes: int):
@@ -320,9 +345,9 @@ def _write_shards(path: str, end_id: int, folder: str, shard_bytes: int):
         for batch in batches:
             columns = batch.to_pydict()
             ids, texts = columns["doc_id"], columns["text"]
-            for at in range(0, len(ids), 256):
-                values, width = encode_texts(texts[at : at + 256], path, end_id)
-                for identifier, value in zip(ids[at : at + 256], values, strict=True):
+            for i, j in _grouped(texts):
+                values, width = encode_texts(texts[i:j], path, end_id)
+                for identifier, value in zip(ids[i:j], values, strict=True):
                     if writer is None:
                         name = f"shard-{part:06d}-{len(done):05d}-{uuid.uuid4().hex}.sst"
                         stream = fs.open_output_stream(f"{base}/{name}", compression=None)

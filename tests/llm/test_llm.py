@@ -57,6 +57,20 @@ def test_ids_are_the_librarys():
     assert max(map(len, sstable._tokenizer(path)[2])) <= sstable.PIECE_BYTES
 
 
+def test_final_marks_are_encoded_apart():
+    from tokenizers import Tokenizer
+
+    path, rng = P.path("word_bpe_49k.json"), np.random.default_rng(7)
+    parts = ["word", "Ünd", "né", "12", "'s", "'", ".", ",", "***", "&&&", "$", "<|", "|>", "<|endoftext|>", "=", ">", "\u0338", "e\u0301", "\u00a0", "…", "_", "-", " ", "  ", "\n", "\t", "\x1c", "\u2028", "語", "ſ", "İ"]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 9))) for _ in range(4000)] + ["", " ", "word.*** word!! word,", "x" * 400 + "."]
+    got, _ = sstable.encode_texts([*(x.encode() for x in texts), None], path, 2)
+    library = Tokenizer.from_file(path)
+    assert [np.frombuffer(g, "<u2").tolist() for g in got] == [[*library.encode(x, add_special_tokens=False).ids, 2] for x in [*texts, ""]]
+    known = sstable._tokenizer(path)[2]
+    assert {b"word", b".***", b"!!", b","} <= known.keys() and b"x" * 400 not in known
+    assert sstable._stem(b"word.***") == (b"word", b".***") and sstable._stem(b"a<|endoftext|>") == (b"a<|endoftext|>", b"")
+
+
 def test_shard_keys_null_and_repeated(spark):
     rows = [(None, "a"), (5, "b c"), (5, "b c"), (5, "d"), (-3, None)]
     got = sstable.token_table(spark, spark.createDataFrame(rows, "doc_id long, text string"), P.path("word_bpe_49k.json")).collect()
