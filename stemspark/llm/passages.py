@@ -324,7 +324,9 @@ def _repeated(texts: DataFrame, found: DataFrame, similar: float, made: list[Dat
     spans = kinds.groupBy("class_id").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max("hi").alias("hi")).where("first.doc_id < hi")
     classed = kinds.select("whole", "class_id").join(spans.select("class_id", "first"), "class_id")
     out = places.join(classed, "whole")
-    return out.select("doc_id", "at", "class_id", (F.struct("doc_id", "at") != F.col("first")).alias("removed"), F.col("first.doc_id").alias("kept_doc_id"), F.col("first.at").alias("kept_at"))
+    # Paragraphs that begin a word or two apart may be alike: what overlaps the one that stays is no copy of it.
+    stays = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("at") < F.col("first.at") + WORDS)
+    return out.select("doc_id", "at", "class_id", (~stays).alias("removed"), F.col("first.doc_id").alias("kept_doc_id"), F.col("first.at").alias("kept_at"))
 
 
 def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -179,6 +179,23 @@ def test_passages_with_a_changed_word_and_short_texts(spark):
     assert {(r["_id"], r["_h"]) for r in after.values()} == {("keep", 1)}
 
 
+def test_what_overlaps_a_paragraph_that_stays_is_no_copy(spark):
+    rng = np.random.default_rng(11)
+    made = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 100_000, n))
+    while True:
+        passage = made(80)
+        h, first = passages.joined_hashes([passage])
+        at = passages.paragraphs(h, first, passages.shingle_hashes(h))
+        if (np.diff(at) == 1).any():
+            break
+    docs = spark.createDataFrame([(1, f"{made(30)} {passage} {made(30)}"), (2, f"{made(30)} {passage} {made(30)}")], "doc_id long, text string")
+    found = passages.repeated(docs).collect()
+    assert len({(r["doc_id"], r["class_id"]) for r in found}) < len(found)  # neighbours in one class
+    assert {(r["doc_id"], r["removed"]) for r in found} == {(1, False), (2, True)}
+    after = {r["doc_id"]: len(r["text"].split()) for r in passages.cut(docs).collect()}
+    assert after[1] == 140 and after[2] < 90
+
+
 def test_paragraphs_unlike_their_hub(spark):
     """Texts of one paragraph that share 23 words; pairs among them share 25. Every pair of a bucket counts, whatever its hub."""
     heads = [text(5) for _ in range(20_000)]
