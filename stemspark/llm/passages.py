@@ -45,6 +45,10 @@ _U = np.uint64
 _GOLD = 0x9E3779B97F4A7C15
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    return common.stored(df, name, dictionary=False)
+
+
 def tuned_bands(similar: float = SIMILAR, rows: int = FINE_ROWS, recall: float = 0.99) -> int:
     """The fewest bands of `rows` values that bring a pair of this similarity together with at least this probability."""
     bands = 1
@@ -247,10 +251,17 @@ def _rest(placed: DataFrame, grams: DataFrame, similar: float) -> DataFrame:
     return left.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_joined(similar), "a long, b long").distinct()
 
 
+def _often(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+
+
 def _texts(docs: DataFrame) -> tuple[DataFrame, bool]:
     """doc_id and text of the rows that take part, one a doc_id (of several the smallest text), and whether a doc_id repeats."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    again = common.stored(texts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "passages-again")
+    # Counted without the texts first, which then need no reading where no doc_id repeats.
+    again = _stored(_often(docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")), "passages-again")
+    if not again.isEmpty():
+        again = _stored(_often(texts), "passages-again")
     if again.isEmpty():
         return texts, False
     again = common.small(again)
@@ -265,7 +276,7 @@ def _of(texts: DataFrame, asked: DataFrame) -> DataFrame:
 
 def _scanned(texts: DataFrame) -> DataFrame:
     common.ship(texts.sparkSession)
-    return common.stored(texts.mapInArrow(_coarse, "doc_id long, at int, whole long, " + ", ".join(f"{k} long" for k in _COARSE_KEYS)), "passages-all")
+    return _stored(texts.mapInArrow(_coarse, "doc_id long, at int, whole long, " + ", ".join(f"{k} long" for k in _COARSE_KEYS)), "passages-all")
 
 
 def repeated(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -284,7 +295,7 @@ def _repeated(texts: DataFrame, found: DataFrame, similar: float, made: list[Dat
     found = found.where("at >= 0")
 
     def kept(df: DataFrame, name: str) -> DataFrame:
-        made.append(common.stored(df, name))
+        made.append(_stored(df, name))
         return made[-1]
 
     coarse = found.select("doc_id", "at", "whole", F.explode_outer(F.array(*_COARSE_KEYS)).alias("key"))
@@ -402,10 +413,10 @@ def _alike(similar: float):
 
 def _like_kept(texts: DataFrame, short: DataFrame, similar: float) -> DataFrame:
     """doc_id, p: where 51 words begin that resemble 51 words of the document whose copy of the paragraph stays."""
-    pairs = common.stored(short.where("doc_id <> kept_doc_id").select("doc_id", "at", "kept_doc_id", "kept_at"), "passages-pairs")  # a row a paragraph
+    pairs = _stored(short.where("doc_id <> kept_doc_id").select("doc_id", "at", "kept_doc_id", "kept_at"), "passages-pairs")  # a row a paragraph
     places = pairs.select("doc_id", "at").union(pairs.select("kept_doc_id", "kept_at"))
-    asked = common.stored(places.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("at").alias("places")), "passages-asked")
-    around = common.stored(_of(texts, asked).mapInArrow(_around, "doc_id long, at int, low int, x array<long>"), "passages-around")
+    asked = _stored(places.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("at").alias("places")), "passages-asked")
+    around = _stored(_of(texts, asked).mapInArrow(_around, "doc_id long, at int, low int, x array<long>"), "passages-around")
     kept = around.select(F.col("doc_id").alias("kept_doc_id"), F.col("at").alias("kept_at"), F.col("low").alias("kept_low"), F.col("x").alias("y"))
     met = pairs.join(around, ["doc_id", "at"]).join(kept, ["kept_doc_id", "kept_at"])
     return met.mapInArrow(_alike(similar), "doc_id long, p int").distinct()
@@ -418,29 +429,30 @@ def spans(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     texts, _ = _texts(docs)
     scanned = _scanned(texts)
     made: list[DataFrame] = []
-    found = common.stored(_repeated(texts, scanned, similar, made), "passages-classes")
+    found = _stored(_repeated(texts, scanned, similar, made), "passages-classes")
     common.forget(*made)
     brief = scanned.where("at < 0").select("doc_id", (-F.col("at")).cast("long").alias("n_words"), "whole")
-    brief = common.stored(brief, "passages-brief")
+    brief = _stored(brief, "passages-brief")
     common.forget(scanned)
     same = brief.groupBy("whole").agg(F.min("doc_id").alias("kept_doc_id"), F.max("doc_id").alias("last")).where("kept_doc_id < last").drop("last")
-    same = common.small(common.stored(same, "passages-same"))
+    same = common.small(_stored(same, "passages-same"))
     brief = brief.join(same, "whole").select("doc_id", F.lit(0).cast("long").alias("start"), F.col("n_words").alias("stop"), "n_words", F.col("whole").alias("class_id"), "kept_doc_id", (F.col("doc_id") != F.col("kept_doc_id")).alias("removed"))
     w = Window.partitionBy("doc_id", "removed").orderBy("at", "class_id")
     runs = found.withColumn("far", F.lag("at").over(w)).withColumn("run", F.sum(F.when(F.col("at") <= F.col("far") + WORDS, 0).otherwise(1)).over(w))
     whole = Window.partitionBy("doc_id", "removed", "run")
-    runs = common.stored(runs.withColumn("start", F.min("at").over(whole)).withColumn("stop", F.max("at").over(whole) + WORDS).drop("far"), "passages-runs")
+    runs = _stored(runs.withColumn("start", F.min("at").over(whole)).withColumn("stop", F.max("at").over(whole) + WORDS).drop("far"), "passages-runs")
     short = runs.where(F.col("stop") - F.col("start") < PASSAGE)
 
     # The short runs' classes, wherever they are, with the passages around them.
     unsure = runs.join(common.small(short.select("class_id").distinct()), "class_id", "left_semi")
-    asked = common.stored(unsure.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("at").alias("places")), "passages-asked")
+    asked = _stored(unsure.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("at").alias("places")), "passages-asked")
     around = _of(texts, asked).mapInArrow(_passages, "doc_id long, start int, passage long")
-    around = common.stored(around, "passages-around")
+    around = _stored(around, "passages-around")
     shared = around.groupBy("passage").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("passage")
-    shared = common.small(common.stored(shared, "passages-shared"))
-    sure = around.join(shared, "passage").select("doc_id", F.col("start").alias("p")).distinct()
-    sure = common.stored(sure.union(_like_kept(texts, short, similar)).distinct(), "passages-sure")
+    shared = common.small(_stored(shared, "passages-shared"))
+    # A place may be in it twice, which least and greatest values don't mind.
+    sure = around.join(shared, "passage").select("doc_id", F.col("start").alias("p"))
+    sure = _stored(sure.union(_like_kept(texts, short, similar)), "passages-sure")
     common.forget(around)
     keys = short.select("doc_id", "at", "removed", "run")
     sure = keys.select("doc_id", "removed", "run", F.explode(F.sequence(F.col("at") - (PASSAGE - WORDS), F.col("at"))).alias("p")).join(sure, ["doc_id", "p"])
@@ -460,7 +472,7 @@ def cut(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     do rows of a repeated doc_id whose text isn't the one that counts."""
     id_, cuts_, h_ = common.free(docs, "_id", "_cuts", "_h")
     removed = spans(docs, similar).where("removed").groupBy(F.col("doc_id").alias(id_)).agg(F.array_sort(F.collect_list(F.array("start", "stop"))).alias(cuts_))
-    removed = common.stored(removed, "passages-cuts")  # a row a document, bounded by its text
+    removed = _stored(removed, "passages-cuts")  # a row a document, bounded by its text
     texts, again = _texts(docs)
     named = F.col("doc_id").cast("long") == F.col(id_)
     if again:

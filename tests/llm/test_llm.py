@@ -196,6 +196,22 @@ def test_what_overlaps_a_paragraph_that_stays_is_no_copy(spark):
     assert after[1] == 140 and after[2] < 90
 
 
+def test_a_doc_id_repeats_by_its_texts_and_hashes_have_no_dictionary(spark):
+    import pyarrow.parquet as pq
+
+    rows = [(1, None), (1, "a"), (2, "b"), (None, "c"), (None, "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for extra, again in (([], False), ([(2, "a")], True)):
+        texts, repeats = passages._texts(docs.union(spark.createDataFrame(extra, docs.schema)))
+        assert repeats is again and sorted(map(tuple, texts.collect())) == [(1, "a"), (2, "a" if again else "b")]
+    from pathlib import Path
+
+    kept = passages._stored(docs, "test")
+    files = Path(kept._stored_at.removeprefix("file:")).glob("*.parquet")
+    metas = [pq.ParquetFile(f).metadata for f in files]
+    assert not any(m.row_group(i).column(0).has_dictionary_page for m in metas for i in range(m.num_row_groups))
+
+
 def test_paragraphs_unlike_their_hub(spark):
     """Texts of one paragraph that share 23 words; pairs among them share 25. Every pair of a bucket counts, whatever its hub."""
     heads = [text(5) for _ in range(20_000)]
