@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stemspark.storage import BROADCAST_ROWS, forget, scratch, ship, small, stored  # noqa: F401
 
+#: Links up to which one task finds their components (some 40 MB of its memory). Level by level they take some 30 stages, and
+#: the driver keeps an account of every task of those.
+ONE_TASK_LINKS = 250_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -326,11 +326,11 @@ def _repeated(texts: DataFrame, found: DataFrame, similar: float, made: list[Dat
 
     buckets = members(contents.select("whole", F.explode_outer("keys").alias("key")))
     links = verified(buckets.where("whole <> b").select(F.col("whole").alias("a"), "b").distinct())
-    labels = components(links.where("near"))
+    labels = components(links.where("near"), common.ONE_TASK_LINKS)
     placed = buckets.select("key", "whole").join(labels.select(F.col("node").alias("whole"), "component"), "whole", "left")
     rest = kept(_rest(placed.withColumn("component", F.coalesce("component", "whole")), grams, similar), "passages-rest")
     kinds = kinds.join(labels.select(F.col("node").alias("whole"), "component"), "whole", "left").withColumn("class_id", F.coalesce("component", "whole")).drop("component")
-    joined = components(rest).select(F.col("node").alias("class_id"), F.col("component").alias("joined"))
+    joined = components(rest, common.ONE_TASK_LINKS).select(F.col("node").alias("class_id"), F.col("component").alias("joined"))
     kinds = kinds.join(joined, "class_id", "left").withColumn("class_id", F.coalesce("joined", "class_id")).drop("joined")
     spans = kinds.groupBy("class_id").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max("hi").alias("hi")).where("first.doc_id < hi")
     classed = kinds.select("whole", "class_id").join(spans.select("class_id", "first"), "class_id")

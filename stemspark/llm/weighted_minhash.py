@@ -367,7 +367,7 @@ def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
 
     links = common.stored(_verified(_hubs(members), texts, idf, least), "near-links")
     tried_links = [links]
-    labels = components(links.where("near"))
+    labels = components(links.where("near"), common.ONE_TASK_LINKS)
 
     def placed_by(labels: DataFrame) -> DataFrame:
         return members.join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
@@ -384,10 +384,10 @@ def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
         pairs = _hubs(_ranked(common.stored(fine, "near-fine")))
         tried_links.append(common.stored(_verified(untried(pairs), texts, idf, least), "near-links"))
         links = links.unionByName(tried_links[-1])
-        pairs = common.stored(untried(_rest(placed_by(components(links.where("near"))), texts, idf, least)), "near-pairs")
+        pairs = common.stored(untried(_rest(placed_by(components(links.where("near"), common.ONE_TASK_LINKS)), texts, idf, least)), "near-pairs")
         tried_links.append(common.stored(_verified(pairs, texts, idf, least), "near-links"))
         links = links.unionByName(tried_links[-1])
-        labels = components(links.where("near"))
+        labels = components(links.where("near"), common.ONE_TASK_LINKS)
     common.forget(hashed, firsts, parts, members, texts, *tried_links)
     labels = labels.select(F.col("node").alias("exact_id"), "component")
     out = exact.join(labels, "exact_id", "left").select("doc_id", "exact_id", F.coalesce("component", "exact_id").alias("class_id"))

@@ -8,7 +8,9 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 
-from stemspark.llm import bpe, fixity, hamming_index, licences, mixing, passages, quality, sstable, weighted_minhash, zclassifier
+from stemspark import storage
+from stemspark.llm import bpe, common, fixity, hamming_index, licences, mixing, passages, quality, sstable, weighted_minhash, zclassifier
+from stemspark.operators import graph
 
 random.seed(3)
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long"
@@ -165,6 +167,21 @@ def test_frequent_shingles_weigh_less(spark):
     assert weighted_minhash.classes(docs.limit(0)).count() == 0
 
 
+def test_few_links_take_one_task(spark, docs, monkeypatch):
+    """The same classes as level by level, without the levels' tables, whose many stages fill the driver."""
+    names = []
+    monkeypatch.setattr(graph, "stored", lambda df, name: names.append(name) or storage.stored(df, name))
+
+    def found():
+        near = sorted(map(tuple, weighted_minhash.classes(docs).where("doc_id is not null").collect()))
+        return near, sorted(map(tuple, passages.repeated(docs).collect()))
+
+    one = found()
+    assert "cc-labels" in names and "cc-hooks" not in names
+    monkeypatch.setattr(common, "ONE_TASK_LINKS", 0)
+    assert found() == one and len(one[1]) and "cc-hooks" in names
+
+
 def test_passages_with_a_changed_word_and_short_texts(spark):
     words = text(200).split()
     near = list(words)
